@@ -1,7 +1,7 @@
 """WARC records, and fixity audits of replicas by Merkle trees.
 
 Records are laid out in files by ascending page_id; a record's place is its file and byte offset. The
-leaves of a file's tree are its records' SHA-256, each node above hashes up to `FAN` ordered
+leaves of a file's tree are its records' SHA-256, each node above hashes up to 2 ** FAN_BITS ordered
 neighbours, which cover a range of offsets, and the files' roots are in turn the leaves of the
 archive's tree. Two replicas are compared from the root downwards: only children of nodes that differ
 are looked at.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut, table
 
-FAN_BITS, FILE_RECORDS = 4, 4096
+FAN_BITS, FILE_RECORDS = 6, 4096
 
 
 def record(url: Column, body: Column) -> Column:
@@ -88,64 +88,86 @@ def place(pages: DataFrame, body: str = "html", file_records: int = FILE_RECORDS
     return rows.select("file", "slot", "page_id", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "digest")
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """The levels of an archive's tree, records first and the root last: (file, node, digest) within files, then (file null, node, digest) over them."""
-    levels = [leaves.select("file", F.col("slot").alias("node"), "digest")]
-    most = leaves.agg(F.max("slot"), F.min("file"), F.max("file")).first()
-    if most[0] is None:
-        return levels
+def levels(leaves: DataFrame, low: int, inner: int, outer: int) -> list[DataFrame]:
+    """(f, node, digest) of an archive's tree, records first and the root last.
+
+    f: the file's number from `low`. `inner` levels join neighbours within a file, `outer` ones
+    neighbouring files. A node's digest covers its children's places as well as their digests.
+    """
+    out = [leaves.select((F.col("file") - low).alias("f"), F.col("slot").alias("node"), "digest")]
+    for depth in range(1, inner + outer + 1):
+        key = _above(depth, inner)
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("f", "node", "digest"))), lambda x: F.concat_ws(":", x["f"].cast("string"), x["node"].cast("string"), x["digest"]))
+        out.append(cut(out[-1].groupBy(*(k.alias(n) for n, k in key.items())).agg(F.sha2(F.array_join(inside, ","), 256).alias("digest"))))
+    return out
 
-    def above(level: DataFrame) -> DataFrame:
-        grouped = level.groupBy("file", F.shiftright("node", FAN_BITS).alias("node"))
-        inside = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["digest"]))
-        return cut(grouped.agg(F.sha2(F.array_join(inside, ","), 256).alias("digest")))
 
-    size = most[0]
-    while size > 0 or len(levels) == 1:
-        levels.append(above(levels[-1]))
-        size >>= FAN_BITS
-    levels.append(levels[-1].select(F.lit(None).cast("long").alias("file"), (F.col("file") + 1).alias("node"), "digest"))
-    size = most[2] + 1
-    while size > 0:
-        levels.append(above(levels[-1]))
-        size >>= FAN_BITS
-    return levels
+def _above(depth: int, inner: int) -> dict[str, Column]:
+    """The place at level `depth` of the parent of a node at the level beneath."""
+    within = depth <= inner
+    return {"f": F.col("f") if within else F.shiftright("f", FAN_BITS), "node": F.shiftright("node", FAN_BITS) if within else F.col("node")}
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """(file, slot) of the records that differ between two replicas, or that only one has; from place() of each.
 
-    The trees must be of one height: a replica whose files or records reach further is compared by its
-    leaves alone. Two empty replicas have no differences.
+    Both trees are as high as the larger replica needs, so roots meet roots. Equal roots end the audit
+    at once; else only the children of nodes that differ are compared, level by level. Each of the
+    inputs is read several times and should be stored. Two empty replicas have no differences.
     """
-    left, right = cut(left), cut(right)
-    a, b = tree(left), tree(right)
-    if len(a) != len(b):
-        a, b = a[:1], b[:1]
+    low, high, slots = left.select("file", "slot").union(right.select("file", "slot")).agg(F.min("file"), F.max("file"), F.max("slot")).first()
+    if low is None:
+        return left.select("file", "slot").limit(0)
+    inner, outer = (-(-int(x).bit_length() // FAN_BITS) for x in (slots, high - low))
+    a, b = levels(left, low, inner, outer), levels(right, low, inner, outer)
     suspects = None
-    for depth in range(len(a) - 1, -1, -1):
-        x, y = (s[depth].withColumn("f", F.coalesce("file", F.lit(-2))) for s in (a, b))
+    for depth in range(inner + outer, -1, -1):
+        x, y = (side[depth] for side in (a, b))
         if suspects is not None:
-            x, y = (s.join(suspects, (s["f"] == suspects["pf"]) & (F.shiftright(s["node"], suspects_bits) == suspects["pn"]), "left_semi") for s in (x, y))
-        both = x.select("f", "node", F.col("digest").alias("x")).join(y.select("f", "node", F.col("digest").alias("y")), ["f", "node"], "full")
-        found = cut(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("f", "node"))
-        if depth == 0:
-            return found.select(F.col("f").alias("file"), F.col("node").alias("slot"))
-        if not found.head(1):
-            return found.select(F.col("f").alias("file"), F.col("node").alias("slot"))
-        files = a[depth - 1].schema and depth - 1 > 0
-        suspects = found.select(F.col("f").alias("pf"), F.col("node").alias("pn"))
-        suspects_bits = FAN_BITS
-        # between the tree over files and those within them, a node over files is a file's root
-        if files and _is_bridge(a, depth):
-            suspects = found.select((F.col("node") - 1).alias("pf"), F.lit(0).cast("long").alias("pn"))
-            suspects_bits = 0
-    raise AssertionError
-
-
-def _is_bridge(levels: list[DataFrame], depth: int) -> bool:
-    return getattr(levels[depth], "bridge", False)
+            up = _above(depth + 1, inner)
+            above = suspects.select(F.col("f").alias("up_f"), F.col("node").alias("up_node"))
+            x, y = (s.join(above, (up["f"] == F.col("up_f")) & (up["node"] == F.col("up_node")), "left_semi") for s in (x, y))
+        both = x.withColumnRenamed("digest", "x").join(y.withColumnRenamed("digest", "y"), ["f", "node"], "full")
+        suspects = cut(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("f", "node"))
+        if not suspects.head(1):
+            break
+    return suspects.select((F.col("f") + low).alias("file"), F.col("node").alias("slot"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of pages with a known fault: about one page in 512, by the digest of its page_id, ends in another character."""
+    hit = F.md5(F.col("page_id").cast("string")).substr(1, 3).isin("0a7", "9c2", "b51", "e08", "4d3", "617", "2fe", "d9b")
+    last = F.when(F.col("html").endswith("x"), "y").otherwise("x")
+    html = F.when(hit & (F.col("html") != ""), F.concat(F.expr("left(html, length(html) - 1)"), last)).otherwise(F.col("html"))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
+    """(page_id, file, slot, offset, length, digest, intact) of every record of pages; intact: whether the replica has the same bytes in its place.
+
+    A null url or html counts as empty. Rows that repeat have a slot each. Columns other than page_id,
+    url and html aren't read.
+    """
+    mine, other = cut(place(pages)), cut(place(replica))
+    bad = audit(mine, other).withColumn("bad", F.lit(True))
+    return mine.join(bad, ["file", "slot"], "left").select("page_id", "file", "slot", "offset", "length", "digest", F.col("bad").isNull().alias("intact"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    pages = table(spark, sf_dir, "pages")
+    return fixity(pages, damaged(pages))
+
+
+_RECORD = """'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'WARC-Block-Digest: sha256:' || sha256(b) || n
+  || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(b) || n || n || b || n || n"""
+
+SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS n FROM pages),
+d AS (SELECT *, CASE WHEN html <> '' AND substr(md5(CAST(page_id AS VARCHAR)), 1, 3) IN ('0a7', '9c2', 'b51', 'e08', '4d3', '617', '2fe', 'd9b')
+  THEN left(html, length(html) - 1) || CASE WHEN html LIKE '%x' THEN 'y' ELSE 'x' END ELSE html END AS other FROM p),
+r AS (SELECT page_id, url, {_RECORD.replace("sha256(b)", "sha256(html)").replace("strlen(b)", "strlen(html)").replace("|| b ||", "|| html ||")} AS one,
+  {_RECORD.replace("sha256(b)", "sha256(other)").replace("strlen(b)", "strlen(other)").replace("|| b ||", "|| other ||")} AS two FROM d),
+s AS (SELECT page_id, url, CAST(coalesce(floor(page_id / {FILE_RECORDS}), -1) AS BIGINT) AS file, sha256(one) AS digest, CAST(strlen(one) AS BIGINT) AS length, one = two AS intact FROM r)
+SELECT page_id, file, row_number() OVER w - 1 AS slot, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, intact
+FROM s WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest ROWS UNBOUNDED PRECEDING)
+"""
