@@ -27,7 +27,7 @@ from chatloom.llm.common import table
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 16, 8
 #: The labelled sample that the network is fitted on: so many documents, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 1500, 6
-MIN_PROBABILITY = 0.5
+MIN_PROBABILITY = 0.3
 
 _PAD = 127
 CLASSES = np.full(256, 28, np.uint8)

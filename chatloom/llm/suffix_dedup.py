@@ -339,7 +339,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Each window of 50 words that a lesser document has too, with its least place; joined to spans.
 SQL = rf"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r\x1C-\x1F ]+'), x -> x <> '') AS words FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r\x1C-\x1F ]+'), lambda x: x <> '') AS words FROM documents WHERE text IS NOT NULL
 ), g AS (
   SELECT doc_id, i - 1 AS p, md5(array_to_string(words[i : i + {LENGTH - 1}], ' ')) AS h
   FROM w, LATERAL (SELECT unnest(range(1, len(words) - {LENGTH - 2})) AS i)

@@ -1,6 +1,6 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Features are the words of a text, and the first STEM bytes of each, as 64-bit hashes. Labels give
+Features are the words of a text, and the first bytes of each (STEMS), as 64-bit hashes. Labels give
 toxic or not; the toxic ones are graded here: grade 1 up to the median of their marker counts, grade 2
 above. Markers are the features that toxic labelled texts have far more often than others.
 
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from chatloom.llm import text as T
 from chatloom.llm.common import table
 
-STEM, GRADES = 5, 3
+STEMS, GRADES = (4, 5), 3
 #: The labelled sample that the model is fitted on, and the number of features that it may keep.
-TRAIN_DOCS, FEATURES = 8000, 4096
-#: A feature is kept if so many labelled toxic texts have it, and so many times as often as others do.
-LEAST_DOCS, LEAST_LIFT = 4, 8.0
+TRAIN_DOCS, FEATURES = 8000, 512
+#: A feature is kept if so many labelled toxic texts have it (and this share of them), and so many times as often as others do.
+LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 4, 0.01, 20.0
 TOXIC_FROM = 0.5
 
 
@@ -35,9 +35,12 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = T.lower(data)
     starts, ends, ptr = T.words(low, offs, T.WORD)
     own = T.owners(ptr)
-    longer = ends - starts > STEM
-    stems = T.mix64(T.span_hash(low, starts[longer], starts[longer] + STEM), 5)
-    return np.concatenate([own, own[longer]]), np.concatenate([T.span_hash(low, starts, ends), stems])
+    rows, found = [own], [T.span_hash(low, starts, ends)]
+    for stem in STEMS:
+        longer = ends - starts > stem
+        rows.append(own[longer])
+        found.append(T.mix64(T.span_hash(low, starts[longer], starts[longer] + stem), stem))
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def counted(row: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,12 +73,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - z[:, None], -500, 500)))
 
 
-def fit(n: int, row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adam on the mean negative log-likelihood; thresholds are a first one and exponentials of gaps."""
+def fit(n: int, row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, rounds: int = 1000, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by Adam on the mean negative log-likelihood, in which toxic and other texts count alike; thresholds are a first one and exponentials of gaps."""
     free = np.zeros(width + GRADES - 1)
     free[width:] = 1.0, *[0.0] * (GRADES - 2)
     m, v = np.zeros_like(free), np.zeros_like(free)
-    one = np.eye(GRADES)[grade]
+    toxic = grade > 0
+    one = np.eye(GRADES)[grade] * np.where(toxic, n / (2 * max(toxic.sum(), 1)), n / (2 * max((~toxic).sum(), 1)))[:, None]
     for t in range(1, rounds + 1):
         w = free[:width]
         gaps = np.exp(free[width + 1 :])
@@ -129,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most
     inside = np.bincount(column[toxic[row] == 1], minlength=len(names))
     outside = np.bincount(column[toxic[row] == 0], minlength=len(names))
     lift = (inside / toxic.sum()) / ((outside + 0.5) / (n - toxic.sum()))
-    good = np.flatnonzero((inside >= LEAST_DOCS) & (lift >= LEAST_LIFT))
+    good = np.flatnonzero((inside >= max(LEAST_DOCS, LEAST_SHARE * toxic.sum())) & (lift >= LEAST_LIFT))
     good = np.sort(good[np.lexsort((good, -inside[good] * np.log(lift[good])))][:most])
     to = np.full(len(names), -1)
     to[good] = np.arange(len(good))
