@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK, OVERLAP = 32_768, 1024
 #: Texts of a batch that are held as tokens at once, in bytes.
-HELD_BYTES = 4_000_000
+HELD_BYTES = 1_000_000
 _TOKENS = "doc_id long, n_tokens long, tokens array<int>, n_bytes long, exact boolean"
 _made: dict[bytes, tiktoken.Encoding] = {}
 

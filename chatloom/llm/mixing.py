@@ -134,5 +134,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The drawn rows in the order of shard and position, the shards in files of their own."""
-    return mix(docs).repartition("shard").sortWithinPartitions("shard", "position").select(*docs.columns)
+    """The drawn rows; a shard is in one partition, in the order of position."""
+    return mix(docs).sortWithinPartitions("shard", "position").select(*docs.columns)

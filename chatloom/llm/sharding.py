@@ -80,12 +80,10 @@ def partition(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         merged = []
         if len(b) <= spare:
             merged = a + b
-        else:  # b's greatest meet a's zeros, its least a's greatest
+        else:  # b's greatest meet a's zeros, a's greatest b's zeros; the rest meets in opposite order
             low, high = b[: len(b) - spare], b[len(b) - spare :]
-            merged = list(high)
-            top = len(a) - len(low)
-            merged += a[:top]
-            for x, y in zip(low, reversed(a[top:])):
+            merged = high + a[len(low) :]
+            for x, y in zip(low, reversed(a[: len(low)])):
                 children.append((x[1], y[1]))
                 merged.append((x[0] + y[0], len(children) - 1))
         merged.sort()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; bounds the temporaries of a Python worker. A longer row is a chunk alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1

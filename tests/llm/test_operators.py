@@ -1,0 +1,370 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
+
+import itertools
+import os
+import random
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from chatloom.llm import bpe, common, language_id, mixing, near_dedup, neighbours, quality, sharding, suffix_dedup, toxicity, warc
+from chatloom.llm import text as T
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ("row", "named", "rank", "bucket", "block", "spot", "shard", "position", "grp", "bytes", "k", "digest", "same", "keys", "mm", "start", "cuts", "left", "keep", "copies", "tokens", "a", "b", "features", "good")
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t)) for i, t, lang, src in rows], SCHEMA)
+
+
+def clashing(df):
+    return df.select("*", *(F.lit(n).alias(c) for n, c in enumerate(CLASH)))
+
+
+def words(rng, n, size=4000):
+    return " ".join(f"w{rng.randrange(size)}x" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, a long text, repeats and ties, with many clashing columns."""
+    rng = random.Random(3)
+    text = words(rng, 120)
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (2, text, "en", "s"), (3, None, None, None), (None, text, "en", "s"), (None, None, None, None), (4, "", "en", ""), (5, " \n ", "en", "s"), (6, "x" * 150_000, "en", "s"), (7, words(rng, 30_000), "en", None)]
+    return clashing(table(spark, rows))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return clashing(table(spark, []))
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# 1
+def test_quotas_and_tree():
+    assert mixing.quotas([10, 10, 10], [1, 1, 2], 8) == [2, 2, 4]
+    assert mixing.quotas([1, 10, 10], [1, 1, 1], 12) == [1, 6, 5]
+    assert mixing.quotas([5, 5], [0, 1], 9) == [0, 5]
+    out = mixing.split([7, 0, 13, 40], 6, 1)
+    assert out.sum(0).tolist() == [7, 0, 13, 40] and set(out.sum(1)) == {10}
+
+
+def test_mix(spark, odd, none):
+    docs = table(spark, [(i, f"t{i}", "en", "big" if i % 4 else f"s{i // 4 % 2}") for i in range(800)])
+    got = mixing.mix(docs, keep=0.5, block_rows=4, shards=5)
+    assert got.count() == 400 and got.select("doc_id").distinct().count() == 400
+    sizes = {r[0]: r[1] for r in got.groupBy("source").count().collect()}
+    assert sizes == {"s0": 100, "s1": 100, "big": 200}  # of 100 blocks each wants a third; the small sources give all 25 they have
+    short = mixing.mix(docs, keep=0.5, block_rows=7, shards=5)  # each source's last block is short
+    assert 400 - 3 * 7 <= short.count() <= 400 and short.select("doc_id").distinct().count() == short.count()
+    assert {r[0] for r in got.groupBy("shard").count().select("count").collect()} == {80}
+    again = mixing.mix(docs.repartition(7), keep=0.5, block_rows=4, shards=5)
+    assert rows(got) == rows(again)
+    assert rows(got.select("doc_id")) != rows(mixing.mix(docs, keep=0.5, block_rows=4, shards=5, seed=1).select("doc_id"))
+    assert mixing.mix(odd, keep=1.0).count() == 10
+    assert mixing.mix(none).count() == 0
+    assert mixing.stage(spark, odd, SF).columns == odd.columns
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"big": -1})
+
+
+# 2
+def test_fixity(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(7, None, None), (7, None, None), (None, "u", "<b>")], "page_id long, url string, html string")
+    pages = pages.withColumn("file", F.lit(1)).withColumn("digest", F.lit("d"))
+    whole = common.cut(warc.place(pages, file_records=16))
+    assert whole.count() == 303 and whole.select("file", "slot").distinct().count() == 303
+    assert warc.audit(whole, whole).count() == 0
+    bad = common.cut(warc.place(pages.withColumn("html", F.when(F.col("page_id").isin(3, 200), "?").otherwise(F.col("html"))), file_records=16))
+    want = rows(whole.join(bad.select("file", "slot", F.col("digest").alias("d")), ["file", "slot"]).where("digest <> d").select("file", "slot"))
+    assert len(want) == 2 and rows(warc.audit(whole, bad)) == want
+    short = common.cut(warc.place(pages.where("page_id < 290"), file_records=16))
+    missing = whole.join(short, ["file", "slot"], "left_anti").select("file", "slot")
+    assert set(rows(missing)) <= set(rows(warc.audit(whole, short)))
+    empty = common.cut(warc.place(pages.limit(0)))
+    assert warc.audit(empty, empty).count() == 0 and warc.audit(whole, empty).count() == 303
+
+
+def test_read_warc(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a", "<p>é</p>"), (2, "http://b", "")], "page_id long, url string, html string")
+    raw = [bytes(r[0]) for r in pages.orderBy("page_id").select(warc.record(F.col("url"), F.col("html"))).collect()]
+    (tmp_path / "a.warc").write_bytes(b"".join(raw) + raw[0][:-9])
+    got = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [(r.offset, r.uri, bytes(r.body).decode(), r.digest_ok) for r in got] == [(0, "http://a", "<p>é</p>", True), (len(raw[0]), "http://b", "", True)]
+
+
+# 3
+def test_bpe_equals_whole_encoding(spark, odd, none):
+    enc = bpe.encoding(bpe.vocabulary())
+    rng = random.Random(5)
+    alphabet = ["a", "b", " ", "  ", "\n", "'s", "é", "日本", "7", "!?", "　", "\x1c", "​", "🙂", "<|endoftext|>", "I'll"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 30, 400, 3000]))) for _ in range(60)] + ["z" * 2000, " " * 900 + "a", "a b " * 500]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in bpe.encode(docs, chunk=64, overlap=24).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].tokens == enc.encode_ordinary(t) and got[i].exact and got[i].n_bytes == len(t.encode()), i
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert back == dict(enumerate(texts))
+    out = bpe.encode(odd).collect()
+    assert len(out) == 10 and sum(r.tokens is None for r in out) == 2
+    assert all(r.exact for r in out if r.tokens is not None)
+    assert [r.n_tokens for r in out if r.doc_id == 6] == [len(enc.encode_ordinary("x" * 150_000))]
+    assert bpe.encode(none).count() == 0
+
+
+# 4
+def brute_spans(texts, length):
+    """Every window that a lesser document has, joined to spans."""
+    first, cells = {}, []
+    for i, t in sorted(texts.items()):
+        w = t.split()
+        for p in range(len(w) - length + 1):
+            first.setdefault(tuple(w[p : p + length]), (i, p))
+    for i, t in sorted(texts.items()):
+        w, run = t.split(), None
+        for p in range(len(w) - length + 1):
+            fd, fp = first[tuple(w[p : p + length])]
+            if fd < i:
+                cells.append((i, fd, fp - p, p))
+    out = []
+    cells.sort()
+    for k, g in itertools.groupby(enumerate(cells), lambda x: (x[1][:3], x[1][3] - x[0])):
+        g = [c for _, c in g]
+        out.append((k[0][0], g[0][3], len(g) + length - 1, k[0][1], g[0][3] + k[0][2]))
+    return sorted(out)
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(60):
+        segs = [[rng.randrange(3) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 6))]
+        flat, ends = np.array(sum(segs, []), np.uint32), np.cumsum([len(s) for s in segs])
+        suffixes = sorted((tuple(s[p:]), n, int(e) - len(s) + p) for n, (s, e) in enumerate(zip(segs, ends)) for p in range(len(s)))
+        assert suffix_dedup.suffix_array(flat, ends).tolist() == [x[2] for x in suffixes]
+
+
+def test_spans(spark, odd, none):
+    rng = random.Random(9)
+    shared = [words(rng, n) for n in (12, 30, 60)]
+    texts = {i: " ".join([words(rng, rng.randrange(20)), rng.choice(shared), words(rng, 9), rng.choice(shared + [""]), "a a a a a a a a a a a a a a"][: rng.randrange(1, 6)]) for i in range(60)}
+    got = suffix_dedup.repeated_spans(table(spark, [(i, t, "en", "s") for i, t in texts.items()]), length=10, gram=4)
+    assert sorted(map(tuple, got.collect())) == brute_spans(texts, 10)
+    assert {r.doc_id for r in suffix_dedup.repeated_spans(odd).collect()} == {2}
+    assert suffix_dedup.repeated_spans(none).count() == 0
+    left = suffix_dedup.stage(spark, odd, SF)
+    assert left.columns == odd.columns and left.where("doc_id = 2").count() == 0 and left.count() == 9
+    assert suffix_dedup.stage(spark, none, SF).count() == 0
+    head, tail, body = "only here", "and the end", words(rng, 60)
+    docs = table(spark, [(1, body, "en", "s"), (2, f"{head}\n{body}  {tail}", "en", "s")])
+    assert rows(suffix_dedup.stage(spark, docs, SF).select("doc_id", "text"))[1] == (2, f"{head}\n{tail}")
+
+
+# 5
+def test_toxicity(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    base = docs.where("lang = 'en'").limit(40)
+    rng = random.Random(2)
+    mild, harsh = ["idiot"], ["idiot", "moron", "scum", "stupid", "clown"]
+    clean = [(i, words(rng, 60), "en", "s") for i in range(300)]
+    some = [(1000 + i, words(rng, 40) + " idiot " + words(rng, 20), "en", "s") for i in range(40)] + [(2000 + i, " ".join(words(rng, 9) + " " + w for w in harsh), "en", "s") for i in range(40)]
+    train = table(spark, clean + some)
+    model = toxicity.train(train, spark.createDataFrame([(i, 1, int(i >= 1000)) for i, *_ in clean + some], "doc_id long, quality int, toxic int"))
+    assert (np.diff(model.thresholds) > 0).all()
+    fresh = table(spark, [(1, words(rng, 300), "en", "s"), (2, words(rng, 300) + " Idiot! " + words(rng, 20), "en", "s"), (3, " ".join(harsh), "en", "s"), (4, None, None, None), (5, "", "en", "s")])
+    got = {r.doc_id: r for r in toxicity.severity(fresh, model).collect()}
+    assert [got[i].toxic for i in range(1, 6)] == [False, True, True, False, False]
+    assert got[3].severity > got[2].severity > got[1].severity and got[3].grade == 2 and mild
+    assert toxicity.severity(odd, model).count() == 10 and toxicity.severity(none, model).count() == 0
+    assert toxicity.train(docs, labels.limit(0)) is None and toxicity.train(none, labels) is None
+    assert toxicity.severity(base, None).where("severity is not null").count() == 0
+
+
+# 6
+def test_quality_against_brute_force(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    by = quality.ratios(docs, labels)
+    assert np.array_equal(by, quality.ratios(docs, labels, sent_ids=0))  # the shuffled way gives the same counts
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    raw, target = np.zeros(1 << 16), np.zeros(1 << 16)
+    each = {}
+    for r in docs.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        each[r.doc_id] = b = quality.grams(data, np.array([0, len(data)]))[1]
+        np.add.at(raw, b, 1)
+        if r.doc_id in good:
+            np.add.at(target, b, 1)
+    p, q = target + 0.5, raw + 0.5
+    want = np.log(p / p.sum()) - np.log(q / q.sum())
+    assert np.allclose(by, want)
+    got = {r.doc_id: r for r in quality.score(docs, by).collect()}
+    for i, b in each.items():
+        assert (got[i].score is None) == (len(b) == 0) and (not len(b) or abs(got[i].score - want[b].mean()) < 1e-5)
+    assert quality.score(odd, by).count() == 10 and quality.score(odd, by).where("score is null and not keep").count() == 4
+    assert quality.score(none, by).count() == 0 and not quality.ratios(none, labels).any()
+
+
+# 7
+def test_shards(spark, odd, none):
+    rng = random.Random(4)
+    sizes = np.sort(np.array([rng.randrange(1, 5000) for _ in range(700)]))[::-1]
+    sums, shard = sharding.partition(sizes, 8)
+    assert np.array_equal(np.bincount(shard, sizes, 8).astype(int), sums) and sums.max() - sums.min() <= 10
+    assert sorted(sharding.partition(np.array([8, 7, 6, 5, 4]), 2)[0].tolist()) == [14, 16]  # the textbook's example
+    for k, n in ((2, 9), (5, 23), (8, 64), (7, 3)):  # the short form gives what plain differencing of whole vectors does
+        few = np.sort(np.array([rng.randrange(1, 1000) for _ in range(n)]))[::-1]
+        plain, _ = sharding.difference([np.array([0] * (k - 1) + [x]) for x in few])
+        short, lane = sharding.partition(few, k)
+        assert np.array_equal(np.bincount(lane, few, k).astype(int), short) and short.max() - short.min() == plain.max() - plain.min()
+    groups = spark.createDataFrame([(str(i), int(s)) for i, s in enumerate(sizes)], "grp string, bytes long")
+    out = sharding.shard_groups(groups, 8, bucket_groups=64)
+    by = [r[1] for r in out.groupBy("shard").agg(F.sum("bytes")).collect()]
+    assert out.count() == 700 and len(by) == 8 and max(by) - min(by) <= 0.01 * sum(by) / 8
+    got = sharding.shard_documents(odd, 3)
+    assert got.count() == 10 and got.where("doc_id in (1, 2)").select("shard").distinct().count() == 1
+    assert got.where("bytes > 0 or shard is not null").count() == 10
+    assert sharding.shard_documents(none).count() == 0
+
+
+# 8
+def brute_pairs(texts, radius=near_dedup.RADIUS, jaccard=near_dedup.JACCARD):
+    """Pairs of close fingerprints, and whether they verify."""
+    prints, sets = {}, {}
+    for i, t in texts.items():
+        d = T.lower(np.frombuffer(t.encode(), np.uint8))
+        o = np.array([0, len(d)])
+        s, e, p = T.words(d, o, T.WORD)
+        h = T.span_hash(d, s, e)
+        f, fp = near_dedup.distinct_words(h, e - s, p)
+        if len(h):
+            prints[i], sets[i] = near_dedup.simhash(f, fp)[0], set((T.ngrams(h, p, 2)[0] if len(h) > 1 else h).tolist())
+    out = set()
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if np.bitwise_count(prints[a] ^ prints[b]).sum() <= radius and len(sets[a] & sets[b]) >= jaccard * len(sets[a] | sets[b]):
+            out.add((a, b))
+    return out
+
+
+def test_near_duplicates(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_pairs(texts)
+    got = {r.doc_id: r.keep_id for r in near_dedup.near_duplicates(docs, shard_rows=64).collect()}
+    root = lambda i: got.get(i, i)
+    found = sum(root(a) == root(b) for a, b in want)
+    assert want and found >= 0.9 * len(want)
+    group = {}
+    for a, b in want:  # nothing is joined that isn't connected by true pairs
+        group.setdefault(a, set()).add(b)
+        group.setdefault(b, set()).add(a)
+    for i, k in got.items():
+        seen, todo = {i}, [i]
+        while todo:
+            for x in group.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        assert k in seen and k < i
+    assert {(r.doc_id, r.keep_id) for r in near_dedup.near_duplicates(odd).collect()} == {(2, 1)}
+    assert near_dedup.near_duplicates(none).count() == 0
+    kept = near_dedup.stage(spark, odd, SF)
+    assert kept.columns == odd.columns and kept.count() == 9 and kept.where("doc_id = 2").count() == 0
+    assert near_dedup.stage(spark, none, SF).count() == 0
+
+
+def test_copies_of_a_hot_group(spark):
+    """A shard far over its size is split, and its copies are found across the parts."""
+    rng = random.Random(8)
+    base = words(rng, 200).split()
+    many = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(200)] = f"n{i}"
+        many.append((i, " ".join(w), "en", "s"))
+    got = near_dedup.near_duplicates(table(spark, many), shard_rows=16).collect()
+    assert len(got) == 399 and {r.keep_id for r in got} == {0}
+
+
+# 9
+def test_language(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+    network = language_id.train(docs.where("doc_id % 2 = 0"), train_docs=300)
+    held = docs.where("doc_id % 2 = 1 and n_chars > 200")
+    right = language_id.identify(held, network).join(held.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("predicted")).cast("int"))).first()[0]
+    assert right >= 0.97
+    out = language_id.identify(odd, network).collect()
+    assert len(out) == 10 and sum(r.predicted == "und" and not r.keep for r in out) == 3
+    assert language_id.identify(none, network).count() == 0 and language_id.train(none) is None
+    assert language_id.identify(odd, None).where("keep").count() == 0
+    kept = language_id.stage(spark, odd, SF)
+    assert kept.columns == odd.columns and kept.count() == sum(r.keep for r in language_id.identify(odd, language_id.train(odd)).collect())
+
+
+def test_tables_equal_the_network():
+    rng = np.random.Generator(np.random.Philox(1))
+    x = rng.integers(0, 128, (8, language_id.WINDOW)).astype(np.uint8)
+    net = language_id.fit(x, np.array([0, 1] * 4), ["a", "b"], epochs=1)
+    top = []
+    for w, f, b in zip(language_id.WIDTHS, net.filters, net.biases):
+        e = net.embed[x]
+        n = x.shape[1] - w + 1
+        top.append((sum(e[:, k : k + n] @ f[k] for k in range(w)) + b).max(1))
+    z = np.maximum(np.concatenate(top, 1), 0) @ net.out + net.out_bias
+    z = np.exp(z - z.max(1, keepdims=True))
+    assert np.allclose(net.probabilities(x), z / z.sum(1, keepdims=True), atol=1e-4)
+
+
+# 10
+def test_neighbours(spark):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = neighbours.neighbours(emb, list_rows=32, part_rows=20)
+    ids, x = zip(*((r.vec_id, r.embedding) for r in emb.orderBy("vec_id").collect()))
+    x = np.array(x, np.float64)
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    true = {i: {ids[j] for j in np.argsort(far[n], kind="stable")[:10]} for n, i in enumerate(ids)}
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id))
+    assert all(sorted(k for k, _ in v) == list(range(1, 11)) for v in found.values()) and len(found) == len(ids)
+    assert sum(len(true[i] & {b for _, b in v}) for i, v in found.items()) >= 0.9 * 10 * len(ids)
+
+
+def test_odd_vectors(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    some = [(1, v), (1, v), (2, v), (3, [5.0, 5.0, 5.0, 5.0]), (None, v), (4, None), (5, []), (6, [1.0]), (7, [float("nan")] * 4), (8, [None, 1.0, 1.0, 1.0])]
+    emb = spark.createDataFrame(some, "vec_id long, embedding array<float>").withColumn("list", F.lit(0)).withColumn("part", F.lit(0)).withColumn("codes", F.lit("c"))
+    got = rows(neighbours.neighbours(emb).select("vec_id", "rank", "neighbour_id", "distance"))
+    assert [r[:3] for r in got] == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)] and got[0][3] == 0
+    assert neighbours.neighbours(emb.limit(0)).count() == 0
+    assert neighbours.neighbours(emb.where("vec_id = 3")).count() == 0
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        common.shared(Session())
+
+
+def test_encoder_is_the_public_one():
+    assert isinstance(bpe.encoding(bpe.vocabulary()), tiktoken.Encoding) and os.path.exists(bpe.VOCABULARY)

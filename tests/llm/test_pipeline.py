@@ -1,0 +1,45 @@
+"""The pipeline and the SQL of the queries that have one."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from chatloom.llm import bpe, common, language_id, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in cur.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(*(f"`{c}`" for c in columns)).collect())) == sorted(cur.fetchall())
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r[0] for r in now.select("doc_id").collect()}
+        now = common.stored(stage(spark, now, SF), name)
+        assert now.columns == docs.columns
+        assert {r[0] for r in now.select("doc_id").collect()} <= before
+        assert now.count() == now.select("doc_id").distinct().count()
+        if name == "language_id":
+            kept = language_id.identify(docs, language_id.train(docs)).where("keep")
+            assert {r.doc_id for r in kept.collect()} == {r[0] for r in now.select("doc_id").collect()}
+        if name == "near_dedup":
+            assert now.select(F.md5("text")).distinct().count() == now.count()
+    enc = bpe.encoding(bpe.vocabulary())
+    last = {r.doc_id: r.tokens for r in corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()}
+    assert last == {r.doc_id: enc.encode_ordinary(r.text) for r in now.collect()}
+    assert set(last) <= set(texts)
+    whole = {r.doc_id: r.tokens for r in corpus_pipeline.run(spark, SF).collect()}
+    assert whole == last
