@@ -4,12 +4,227 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chatloom.functions import exprs
+from chatloom.operators import adapters, emitters, profile, turns
+from chatloom.operators import mix as mixing
+from chatloom.operators.convert import convert
+from chatloom.operators.dedup import dedupe_lines, keep_first
+from chatloom.sources.jsonl import json_rows
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+WEIGHTS = {"en": 4.0, "fr": 3.0, "de": 2.0, "es": 1.0}
+TOTAL, SEED = 500, 42
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, messages) of the conversations, turns in their order."""
+    turn = F.struct("turn", "role", F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+
+
+def _lines(df: DataFrame, *fields: Column) -> DataFrame:
+    return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").cast("int").alias("n_turns"))
+
+
+def turn_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.distribution(_answers(spark, sf_dir))
+
+
+def turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(dialogues(spark, sf_dir), F.col("messages"))
+    return turns.report(turns.with_turns(lines))
+
+
+def turn_split_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.split(_answers(spark, sf_dir))[0]
+
+
+def turn_split_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.split(_answers(spark, sf_dir))[1]
+
+
+def sharegpt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.transform("messages", lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value"))).alias("conversations")
+    out = convert(_lines(dialogues(spark, sf_dir), items), "sharegpt", "messages")
+    return out.select(F.col("messages")[0]["content"].alias("user_text"), F.col("messages")[1]["content"].alias("assistant_text"))
+
+
+def emit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues(spark, sf_dir).select("conv_id", F.to_json(emitters.emit_messages(F.col("messages"))).alias("json"))
+
+
+def emit_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues(spark, sf_dir).select("conv_id", emitters.emit_alpaca(F.col("messages")).alias("x")).select("conv_id", "x.*")
+
+
+def multi_to_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogues(spark, sf_dir).select("conv_id", emitters.multi_to_single(F.col("messages")).alias("x")).where("x is not null")
+    return rows.select("conv_id", "x.*")
+
+
+def single_to_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", emitters.single_to_multi(F.col("source"), F.col("lang"), F.col("text")).alias("m")).where("m is not null")
+    return docs.select("doc_id", F.col("m")[0]["content"].alias("user_text"), F.col("m")[1]["content"].alias("assistant_text"))
+
+
+def convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON lines, with blank and corrupt lines between them, through the router."""
+    lines = _lines(dialogues(spark, sf_dir), F.col("messages"))
+    noisy = lines.select(F.explode(F.array(F.col("value"), F.lit("  "), F.concat("value", F.lit(",")), F.lit("[1]"))).alias("value"))
+    out = convert(noisy, "auto", "alpaca")
+    return out.groupBy("instruction", "output", "meta_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chat_route_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = convert(_lines(docs, F.col("text"), F.col("source").alias("instruction")), "chat", "messages")
+    return out.select(F.col("messages")[0]["role"].alias("role"), F.md5(F.col("messages")[0]["content"]).alias("digest"), "meta_source")
+
+
+def alpaca_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = convert(_lines(docs, F.col("source").alias("instruction"), F.col("lang").alias("input"), F.lit(" ").alias("output"), F.col("text").alias("response")), "alpaca", "alpaca")
+    return out.select("instruction", "input", F.md5("output").alias("digest"))
+
+
+def chat_route_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    side = lambda c: F.array(F.struct(F.lit("Human").alias("role"), F.col("source").alias("content")), F.struct(F.lit("gpt").alias("role"), c.alias("content")))
+    winner = F.when(F.col("toxic") == 1, "tie").when(F.col("quality") == 1, "model_a").otherwise(" B ")
+    out = convert(_lines(rows, side(F.col("text")).alias("conversation_a"), side(F.col("lang")).alias("conversation_b"), winner.alias("winner")), "chat", "alpaca")
+    return out.select("instruction", F.md5("output").alias("digest"), F.col("meta_branch").alias("branch"))
+
+
+def dedupe_exact_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id")
+
+
+def dedupe_exact_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id", "sha256").select("doc_id")
+
+
+def dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.to_json(F.struct("doc_id", "source", "lang")).alias("value"))
+    return dedupe_lines(lines, keys=["lang", "source"], order="doc_id").select("doc_id")
+
+
+def key_frequency_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.key_frequency(table(spark, sf_dir, "events").select(F.col("props").alias("value")))
+
+
+def key_frequency_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.key_frequency(_lines(dialogues(spark, sf_dir), F.col("messages")), recursive=True)
+
+
+def uniform_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.uniform_schema(table(spark, sf_dir, "events").select(F.col("props").alias("value")))
+
+
+def _mix(spark: SparkSession, sf_dir: str, total: int, oversample: bool) -> tuple[DataFrame, list[mixing.SourceStats]]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return mixing.mix(docs, WEIGHTS, "lang", "doc_id", total, SEED, oversample)
+
+
+def mix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, TOTAL, False)[0].select("doc_id", "lang")
+
+
+def mix_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "lang")
+    return mixing.mix(docs, {"es": 1.0}, "lang", "doc_id", 50_000, SEED, True)[0].select("doc_id", "copy")
+
+
+def mix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = _mix(spark, sf_dir, TOTAL, False)[1]
+    return spark.createDataFrame([(s.source, s.weight, s.requested, s.available, s.written) for s in stats], "source string, weight double, requested long, available long, written long")
+
+
+def parquet_to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+
+
+def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", exprs.sanitize_name(F.col("url")).alias("name"))
+
+
+def redact_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.regexp_replace("url", "://", "://user:token@")
+    return table(spark, sf_dir, "pages").select("page_id", exprs.redact_url(url).alias("url"))
+
+
+def classify_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sort = F.pmod("page_id", F.lit(4))
+    url = F.when(sort == 0, F.concat("url", F.lit(".JSONL"))).when(sort == 1, F.concat(F.lit("https://github.com/a/"), F.col("page_id").cast("string"))).when(sort == 2, "https://raw.githubusercontent.com/a/b").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", exprs.classify_url(url).alias("kind"))
+
+
+def queries() -> dict[str, Query]:
+    made = [
+        turn_distribution, turn_report, turn_split_single, turn_split_multi, sharegpt_pairs, emit_messages, emit_alpaca, multi_to_single, single_to_multi, convert_roundtrip, chat_route_text, alpaca_adapter,
+        chat_route_pairwise, dedupe_exact_md5, dedupe_exact_sha256, dedupe_keys, key_frequency_top, key_frequency_recursive, uniform_schema, mix_sample, mix_oversample, mix_stats, parquet_to_jsonl, sanitize_names, redact_urls, classify_urls,
+    ]
+    return {q.__name__: q for q in made}
+
+
+_ANSWERS = "SELECT conv_id, CAST(count(*) FILTER (role = 'assistant') AS INTEGER) AS n_turns FROM conversations GROUP BY conv_id"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+_USERS = "coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '')"
+_LAST = "last(text ORDER BY turn) FILTER (role = 'assistant')"
+# a plain pair of user and assistant is taken verbatim
+_ALPACA = f"""SELECT conv_id, CASE WHEN count(*) = 2 AND first(role ORDER BY turn) = 'user' AND last(role ORDER BY turn) = 'assistant' THEN {_USERS} ELSE trim({_USERS}, {_BLANK}) END AS instruction,
+  '' AS input, coalesce({_LAST}, '') AS output FROM conversations GROUP BY conv_id"""
+_QUOTA = "(VALUES ('en', 4.0, 200), ('fr', 3.0, 150), ('de', 2.0, 100), ('es', 1.0, 50)) q(lang, weight, quota)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "turn_distribution": f"SELECT n_turns, count(*) AS n FROM ({_ANSWERS}) GROUP BY n_turns",
+        "turn_report": f"SELECT count(*) AS total, count(*) FILTER (n_turns = 1) AS single, count(*) FILTER (n_turns <> 1) AS multi FROM ({_ANSWERS})",
+        "turn_split_single": f"SELECT * FROM ({_ANSWERS}) WHERE n_turns = 1",
+        "turn_split_multi": f"SELECT * FROM ({_ANSWERS}) WHERE n_turns <> 1",
+        "sharegpt_pairs": f"""SELECT trim(text, {_BLANK}) AS user_text, trim(next_text, {_BLANK}) AS assistant_text FROM (
+            SELECT text, role, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+          ) WHERE role = 'user' AND next_role = 'assistant'""",
+        "emit_messages": "SELECT conv_id, CAST(to_json({'messages': list({'role': role, 'content': text} ORDER BY turn)}) AS VARCHAR) AS json FROM conversations GROUP BY conv_id",
+        "emit_alpaca": _ALPACA,
+        "multi_to_single": f"SELECT conv_id, trim({_USERS}, {_BLANK}) AS instruction, '' AS input, trim({_LAST}, {_BLANK}) AS output FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0",
+        "single_to_multi": f"""SELECT doc_id, trim(source, {_BLANK}) || CASE WHEN trim(coalesce(lang, ''), {_BLANK}) <> '' THEN chr(10) || chr(10) || trim(lang, {_BLANK}) ELSE '' END AS user_text, trim(text, {_BLANK}) AS assistant_text
+          FROM documents WHERE trim(source, {_BLANK}) <> '' AND trim(text, {_BLANK}) <> ''""",
+        "convert_roundtrip": f"SELECT instruction, output, 'chat' AS meta_source, count(*) AS n FROM ({_ALPACA}) GROUP BY ALL",
+        "chat_route_text": f"""SELECT 'assistant' AS role, md5(trim(text, {_BLANK})) AS digest, 'chat:text' AS meta_source FROM documents WHERE trim(text, {_BLANK}) <> ''""",
+        "alpaca_adapter": f"""SELECT source || chr(10) || lang AS instruction, '' AS input, md5(trim(text, {_BLANK})) AS digest FROM documents""",
+        "chat_route_pairwise": """SELECT source AS instruction, md5(CASE WHEN quality = 1 THEN text ELSE lang END) AS digest, CASE WHEN quality = 1 THEN 'a' ELSE 'b' END AS branch FROM documents JOIN labels USING (doc_id) WHERE toxic = 0""",
+        "dedupe_exact_md5": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)",
+        "dedupe_exact_sha256": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)",
+        "dedupe_keys": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, source",
+        "key_frequency_top": "SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k",
+        "key_frequency_recursive": "SELECT 'messages' AS key, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'role', count(*) FROM conversations UNION ALL SELECT 'content', count(*) FROM conversations",
+        "uniform_schema": "SELECT count(DISTINCT list_sort(json_keys(props))) = 1 AS uniform FROM events",
+        "mix_sample": f"""SELECT doc_id, lang FROM (
+            SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS pick FROM documents
+          ) JOIN {_QUOTA} USING (lang) WHERE pick <= quota""",
+        "mix_oversample": f"""SELECT doc_id, copy FROM (
+            SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:es:' || doc_id), doc_id) AS pick FROM documents WHERE lang = 'es'
+          ) JOIN (
+            SELECT i AS copy, CAST(('0x' || substr(md5('{SEED}:' || i), 1, 8)) AS BIGINT) % (SELECT count(*) FROM documents WHERE lang = 'es') + 1 AS pick FROM range(50000) r(i)
+          ) USING (pick)""",
+        "mix_stats": f"SELECT lang AS source, CAST(weight / 10.0 AS DOUBLE) AS weight, CAST(quota AS BIGINT) AS requested, count(doc_id) AS available, least(quota, count(doc_id)) AS written FROM {_QUOTA} LEFT JOIN documents USING (lang) GROUP BY lang, weight, quota",
+        "parquet_to_jsonl": "SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS value FROM documents",
+        "sanitize_names": r"""SELECT page_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '_') AS s FROM pages)""",
+        "redact_urls": "SELECT page_id, url FROM pages",
+        "classify_urls": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'url_raw' WHEN 1 THEN 'url_github_tree' WHEN 2 THEN 'url_raw'
+          ELSE CASE WHEN regexp_matches(lower(url), '(\\.json|\\.jsonl|\\.json\\.gz)$') OR contains(lower(url), 'raw.githubusercontent.com') THEN 'url_raw' WHEN contains(lower(url), 'github.com') THEN 'url_github_tree' END END AS kind FROM pages""",
+    }
