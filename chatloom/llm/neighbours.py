@@ -105,7 +105,8 @@ class Index:
         w = self.width
         to = np.full((len(q), k), -1, np.int64)
         far = np.full((len(q), k), np.inf)
-        block = max(16, 4_000_000 // max(len(x), 1))
+        # neither the table of approximate distances nor the vectors to rerank are large at once
+        block = max(16, min(2_000_000 // max(len(x), 1), 1_000_000 // (min(rerank, len(x)) * q.shape[1])))
         for a in range(0, len(q), block):
             part, ids = q[a : a + block], q_id[a : a + block]
             r = part - self.coarse[center]
