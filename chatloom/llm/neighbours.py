@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut, table
 
-K, RERANK, PIECES, WORDS, ROUNDS, PART_ROWS, LIST_ROWS, MOST_LISTS = 10, 64, 16, 256, 4, 4096, 256, 65_536
+K, RERANK, PIECES, WORDS, ROUNDS, PART_ROWS, LIST_ROWS, MOST_LISTS = 10, 64, 16, 256, 4, 4096, 2048, 65_536
 PROBES, AUDITED, RECALL = 8, 64, 0.95
 
 
@@ -228,7 +228,7 @@ def neighbours(embeddings: DataFrame, k: int = K, rerank: int = RERANK, probes:
         got = {r["vec_id"]: {x["neighbour"] for x in r["found"]} for r in search(stored, audited, index, probes, k, rerank).collect()}
         if sum(len(got.get(i, set()) & {x for _, x in found}) for i, found in true.items()) >= RECALL * want:
             break
-        probes *= 2
+        probes += max(1, probes // 2)
     found = search(stored, rows, index, probes, k, rerank)
     return found.select("vec_id", F.posexplode("found")).select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("col.neighbour").alias("neighbour_id"), F.col("col.distance").alias("distance"))
 
