@@ -6,6 +6,11 @@ several widths, takes each filter's greatest response over a window of fixed len
 softmax. A text is tiled by windows from end to end; the mean of their probabilities, weighted by the
 bytes they hold, is the text's.
 
+The softmax knows no other language than the labelled ones, so texts of none are told by their pairs
+of bytes: the mean log-probability of a class after the one before it, in the most probable language.
+Punctuation counts as white space; pairs without a letter, and those with a digit, don't count. A text
+passes where that mean is over a limit between the language's own texts and random letters of its alphabet.
+
 For application, embedding and filters are multiplied out into tables by pair of classes, so that a
 filter bank of width 4 at a position is the sum of two table rows.
 """
@@ -28,6 +33,9 @@ WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 16, 8
 #: The labelled sample that the network is fitted on: so many documents, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 1500, 6
 MIN_PROBABILITY = 0.3
+#: Added to the count of each pair of classes; an alphabet's least share of a language's letters; how far the
+#: limit is from random letters' mean towards the language's.
+SMOOTH, LEAST_SHARE, LIMIT = 0.1, 5e-4, 0.4
 
 _PAD = 127
 CLASSES = np.full(256, 28, np.uint8)
@@ -38,6 +46,11 @@ CLASSES[128:192] = np.arange(32, 96)
 CLASSES[192:256] = 104
 CLASSES[[0xC2, 0xC3, 0xC4, 0xC5]] = [96, 97, 98, 99]
 CLASSES[0xC6:0xD0], CLASSES[0xD0:0xE0], CLASSES[0xE0:0xF0] = 100, 101, 102
+LETTER = np.ones(128, bool)
+LETTER[[26, 27, 28, _PAD]] = False
+#: The classes as pairs take them: punctuation as white space.
+PAIRED = np.arange(128, dtype=np.uint8)
+PAIRED[28] = 27
 
 
 def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +74,8 @@ class Network:
     biases: list[np.ndarray]
     out: np.ndarray
     out_bias: np.ndarray
+    #: By label and pair of classes the log-probability less the label's limit, 0 for pairs that don't count; None: no text is rejected by its pairs.
+    pairs: np.ndarray | None = None
 
     def tables(self) -> list[tuple[np.ndarray, ...]]:
         """For each width, rows to add at a position: by pair of classes, and by class where the width is odd."""
@@ -146,6 +161,30 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 5, batch:
     return Network(labels, p[0], p[1 : 1 + nw], p[1 + nw : 1 + 2 * nw], p[-2], p[-1])
 
 
+def pair_scores(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """[label, pair]: log-probability of the second class after the first, less the label's limit; 0 for pairs that don't count.
+
+    The limit is LIMIT of the way from the mean over all pairs of the label's alphabet (its letters and
+    white space), taken as equally frequent, to that over its own windows.
+    """
+    counted = LETTER[:, None] | LETTER[None]
+    counted[[26, _PAD]] = counted[:, [26, _PAD]] = False
+    counted = counted.ravel()
+    out = np.zeros((k, 128 * 128), np.float32)
+    for label in range(k):
+        c = PAIRED[x[y == label]]
+        n = np.bincount((c[:, :-1].astype(np.intp) * 128 + c[:, 1:]).ravel(), minlength=128 * 128).reshape(128, 128).astype(np.float64)
+        n[_PAD] = n[:, _PAD] = 0
+        score = np.log((n + SMOOTH) / (n.sum(1, keepdims=True) + SMOOTH * 128)).ravel()
+        letters = n.sum(0) * LETTER
+        alphabet = np.append(np.flatnonzero(letters > LEAST_SHARE * letters.sum()), 27)
+        random = (alphabet[:, None] * 128 + alphabet[None]).ravel()
+        if (n.ravel() * counted).sum():
+            score -= LIMIT * np.average(score, weights=n.ravel() * counted) + (1 - LIMIT) * score[random][counted[random]].mean()
+        out[label] = score * counted
+    return out
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> Network | None:
     """A network fitted on the labelled documents that are first by a hash of doc_id, `train_docs` of them at most, each by `train_windows` windows spread evenly. None if none is labelled."""
     named = docs.where("doc_id is not null and lang is not null and lang <> '' and text <> ''")
@@ -167,18 +206,21 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TR
     rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
     labels = sorted({r[1] for r in rows})
     x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8).reshape(-1, WINDOW)
-    return fit(x, np.array([labels.index(r[1]) for r in rows]), labels)
+    y = np.array([labels.index(r[1]) for r in rows])
+    network = fit(x, y, labels)
+    network.pairs = pair_scores(x, y, len(labels))
+    return network
 
 
 class Judge:
-    """Called with a column of texts, gives the index in `names` and the mean probability of each text's language."""
+    """Called with a column of texts, gives the index in `names` and the mean probability of each text's language, and whether its pairs of bytes are that language's."""
 
     def __init__(self, network: Network | None):
         self.network, self.tables = network, network.tables() if network else None
         self.names = pa.array([*(network.labels if network else []), "und"])
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        best, top = np.full(len(texts), len(self.names) - 1), np.zeros(len(texts))
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best, top, known = np.full(len(texts), len(self.names) - 1), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for a, _, d, o in T.chunks(*T.buffers(texts)) if self.network else ():
             x, held, ptr = windows(d, o)
             if not len(x):
@@ -187,15 +229,31 @@ class Judge:
             some = np.flatnonzero(np.diff(ptr) > 0)
             mean = np.add.reduceat(p, ptr[:-1][some], 0) / np.diff(o)[some, None]
             best[a + some], top[a + some] = mean.argmax(1), mean.max(1)
-        return best, np.round(np.minimum(top, 1.0), 6)
+            known[a + some] = self.known(d, o[np.append(some, len(o) - 1)], mean.argmax(1))
+        return best, np.round(np.minimum(top, 1.0), 6), known
+
+    def known(self, data: np.ndarray, offs: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each text, none of them empty, has a positive sum of its language's pair scores. White space stands before its first and after its last byte, so that a text of one letter has pairs."""
+        pairs = self.network.pairs
+        if pairs is None:
+            return np.ones(len(best), bool)
+        c = PAIRED[CLASSES][data].astype(np.int32)
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[offs[:-1]] = 27
+        base = (best * (128 * 128)).astype(np.int32)
+        flat = pairs.ravel()
+        score = flat.take(before * 128 + c + np.repeat(base, np.diff(offs)))
+        return np.add.reduceat(score, offs[:-1], dtype=np.float64) + flat[base + c[offs[1:] - 1] * 128 + 27] > 0
 
 
 def identify(docs: DataFrame, network: Network | None, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """(doc_id, predicted, probability, keep) of every row.
 
     predicted: the most probable language (of equal ones the first by name); keep: whether its mean
-    probability is min_probability or more. Null and empty texts, and all texts where no label was
-    there to train on, are 'und' with probability 0, and not kept. Rows that repeat are judged each;
+    probability is min_probability or more, and the text's pairs of bytes are that language's (Judge.known),
+    which texts without a letter, random letters and foreign scripts aren't. Null and empty texts, and all
+    texts where no label was there to train on, are 'und' with probability 0, and not kept. Rows that repeat are judged each;
     null ids stay null. Other columns aren't read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)
@@ -203,8 +261,8 @@ def identify(docs: DataFrame, network: Network | None, min_probability: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in batches:
-            best, top = judge(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], judge.names.take(pa.array(best)), pa.array(top), pa.array((best < len(judge.names) - 1) & (top >= min_probability))], ["doc_id", "predicted", "probability", "keep"])
+            best, top, known = judge(batch["text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], judge.names.take(pa.array(best)), pa.array(top), pa.array(known & (best < len(judge.names) - 1) & (top >= min_probability))], ["doc_id", "predicted", "probability", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, predicted string, probability double, keep boolean")
 
@@ -224,7 +282,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in batches:
-            _, top = judge(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["row"].filter(pa.array(top >= MIN_PROBABILITY))], ["row"])
+            _, top, known = judge(batch["text"])
+            yield pa.RecordBatch.from_arrays([batch["row"].filter(pa.array(known & (top >= MIN_PROBABILITY)))], ["row"])
 
     return numbered.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")

@@ -308,6 +308,20 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.keep for r in language_id.identify(odd, language_id.train(odd)).collect())
 
 
+def test_language_of_no_label(spark):
+    """Random letters, digits and foreign scripts are rejected; short clean texts are kept."""
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+    network = language_id.train(docs.where("doc_id % 2 = 0"), train_docs=300)
+    alphabets = {"letters": "abcdefghijklmnopqrstuvwxyz", "digits": "0123456789.,-#/", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "han": [chr(c) for c in range(0x4E00, 0x9FA5)]}
+    made = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    odd = table(spark, [(i, made(a, 12), "en", "s") for i, a in enumerate(list(alphabets.values()) * 25)])
+    assert language_id.identify(odd, network).where("keep").count() == 0
+    clean = [r.text.split()[:12] for r in docs.where("doc_id % 2 = 1 and n_chars > 200").limit(200).collect()]
+    kept = language_id.identify(table(spark, [(i, " ".join(w), "en", "s") for i, w in enumerate(clean)]), network)
+    assert kept.where("keep").count() >= 0.98 * len(clean)
+
+
 def test_tables_equal_the_network():
     rng = np.random.Generator(np.random.Philox(1))
     x = rng.integers(0, 128, (8, language_id.WINDOW)).astype(np.uint8)
