@@ -8,8 +8,9 @@
 3. In each part a navigable small-world graph is built, and every row searches it as a query. A beam
    full of hits expands; one still full after that is replaced by an exact scan of the part. Some
    queries of each part are audited by exact scan; under `recall` the beam doubles and all repeat.
-4. The hits of a part shrink to a minimum spanning forest. Its edges are verified on the texts, by the
-   Jaccard similarity of the sets of word pairs; verified edges are unioned.
+4. A minimum spanning forest of the hits of a part is verified on the texts first, by the Jaccard
+   similarity of the sets of word pairs. Then all other hits between points that verified edges don't
+   connect are verified too, those of the exact scans with them; verified edges are unioned.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from chatloom.llm.common import components, cut, table
 RADIUS, JACCARD, ROUTES, SHARD_ROWS = 26, 0.5, 4, 8192
 FORWARD, REVERSE, BEAM, STEP, ENTRIES, AUDITED, RECALL = 8, 16, 32, 4, 16, 32, 0.95
 LONG_WORD, FEW_WORDS = 4, 4
+TREE, HIT, FULL = 0, 1, 2
 _BIG = np.int64(1) << 62
 
 
@@ -206,8 +208,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, root: list[int
     return kept, root
 
 
-def part_edges(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius: int = RADIUS, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the pairs at most `radius` apart, of all rows as queries against the inserted ones: (id, id, distance)."""
+def part_hits(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius: int = RADIUS, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs at most `radius` apart, of all rows as queries against the inserted ones: (id, id, TREE for those of a minimum spanning forest or HIT), and (id, id, FULL) for each row whose beam didn't hold all its hits."""
     n, own = len(ids), np.flatnonzero(inserted)
     none = np.zeros(0, np.int64)
     if n < 2 or not len(own):
@@ -239,8 +241,10 @@ def part_edges(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius
     apart = of != to
     of, to, far = of[apart], to[apart], far[apart]
     kept, root = forest(n, of, to, far)
-    edges = [(of[kept], to[kept], far[kept])]
-    if full.any():  # an exact scan finds what such a beam didn't hold; only pairs of different trees add anything
+    rest = np.ones(len(of), bool)
+    rest[kept] = False
+    edges = [(of[kept], to[kept], np.full(len(kept), TREE)), (of[rest], to[rest], np.full(rest.sum(), HIT))]
+    if full.any():  # an exact scan finds what such a beam didn't hold; here pairs of different trees, in scan_again() of different components
         def labels() -> np.ndarray:
             r = np.array(root)
             while (r[r] != r).any():
@@ -254,14 +258,15 @@ def part_edges(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius
             x, y = np.nonzero((d <= radius) & (label[spot][None, :] != label[q][:, None]))
             if len(x):
                 kept, root = forest(n, q[x], spot[y], d[x, y], root)
-                edges.append((q[x][kept], spot[y][kept], d[x, y][kept].astype(np.int64)))
+                edges.append((q[x][kept], spot[y][kept], np.full(len(kept), TREE)))
                 label = labels()
-    of, to, far = (np.concatenate(c) for c in zip(*edges))
-    return ids[of], ids[to], far
+        edges.append((rows, rows, np.full(len(rows), FULL)))
+    of, to, kind = (np.concatenate(c) for c in zip(*edges))
+    return ids[of], ids[to], kind
 
 
-def candidate_edges(points: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b), a < b: the forest edges of every shard of (doc_id, f0, f1, keys)."""
+def spread_points(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(shard, part, doc_id, f0, f1, own) of (doc_id, f0, f1, keys): a point in all parts of its shards; own: whether it is inserted in that part."""
     count = points.agg(F.sum(F.size("keys"))).first()[0] or 0
     shards = max(1, -(-int(count) // shard_rows))
     spread = points.select("doc_id", "f0", "f1", F.explode(F.array_distinct(F.transform("keys", lambda k: F.pmod(k, F.lit(shards))))).alias("shard"))
@@ -269,14 +274,47 @@ def candidate_edges(points: DataFrame, radius: int = RADIUS, shard_rows: int = S
     parts = parts.select("shard", F.when(F.col("parts") > 1, F.col("parts") * 4).otherwise(1).alias("parts"))
     spread = spread.join(parts, "shard").withColumn("home", F.pmod(F.xxhash64("doc_id", "shard"), F.col("parts")).cast("int"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return spread.select("shard", "part", "doc_id", "f0", "f1", (F.col("home") == F.col("part")).alias("own"))
+
+
+def _points(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fp = np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(np.uint64)
+    return t["doc_id"].to_numpy(), np.ascontiguousarray(fp), t["own"].to_numpy(zero_copy_only=False)
+
+
+def candidate_hits(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(shard, part, a, b, kind), a <= b: what part_hits() finds in every part, a pair of a part once."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        a, b, kind = part_hits(*_points(t.combine_chunks().sort_by("doc_id")), radius)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((kind, high, low))
+        low, high, kind = low[order], high[order], kind[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        n = int(new.sum())
+        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int64()), "part": pa.array([key[1].as_py()] * n, pa.int32()), "a": pa.array(low[new], pa.int64()), "b": pa.array(high[new], pa.int64()), "kind": pa.array(kind[new].astype(np.int32))})
+
+    return spread.groupBy("shard", "part").applyInArrow(run, "shard long, part int, a long, b long, kind int")
+
+
+def scan_again(spread: DataFrame, full: DataFrame, label: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: all pairs at most `radius` apart of the rows `full` (shard, part, doc_id) with the points of their part, but for pairs of one component of `label` (doc_id, root)."""
+    asked = spread.join(full.select("shard", "part").distinct(), ["shard", "part"], "left_semi").join(full.withColumn("asks", F.lit(True)), ["shard", "part", "doc_id"], "left").join(label, "doc_id", "left")
+    asked = asked.select("shard", "part", "doc_id", "f0", "f1", "own", F.coalesce("asks", F.lit(False)).alias("asks"), F.coalesce("root", "doc_id").alias("root"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("doc_id")
-        fp = np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(np.uint64)
-        a, b, _ = part_edges(t["doc_id"].to_numpy(), np.ascontiguousarray(fp), t["home"].to_numpy() == t["part"].to_numpy(), radius)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        ids, points, own = _points(t)
+        rows, spot, root = np.flatnonzero(t["asks"].to_numpy(zero_copy_only=False)), np.flatnonzero(own), t["root"].to_numpy()
+        found = [np.zeros((2, 0), np.int64)]
+        for a in range(0, len(rows), 256):
+            q = rows[a : a + 256]
+            x, y = np.nonzero((root[spot][None, :] != root[q][:, None]) & (distances(points[q], points[spot]) <= radius))
+            found.append(np.sort(np.stack([ids[q[x]], ids[spot[y]]]), 0))
+        low, high = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
-    return spread.groupBy("shard", "part").applyInArrow(run, "a long, b long").where("a < b").distinct()
+    return asked.groupBy("shard", "part").applyInArrow(run, "a long, b long")
 
 
 def word_pairs(docs: DataFrame) -> DataFrame:
@@ -297,6 +335,17 @@ def word_pairs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pairs array<long>")
 
 
+def verified(docs: DataFrame, edges: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """The edges (a, b) whose texts have a Jaccard similarity of word pairs of `jaccard` or more."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # rows that repeat a doc_id are one document; its least text stands for it
+    sets = word_pairs(docs.select("doc_id", "text").where("text <> ''").join(ends, "doc_id", "left_semi"))
+    sets = sets.groupBy("doc_id").agg(F.min("pairs").alias("pairs"))
+    left, right = sets.toDF("a", "pa"), sets.toDF("b", "pb")
+    shared = F.size(F.array_intersect("pa", "pb"))
+    return edges.join(left, "a").join(right, "b").where(shared >= jaccard * (F.size("pa") + F.size("pb") - shared)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, routes: int = ROUTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, keep_id) of each document that has an exact or near copy with a lesser doc_id; keep_id: the least of its group.
 
@@ -309,14 +358,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACC
     groups = cut(groups)
     exact = prints.select("doc_id", "same").join(groups.select("same", "rep"), "same").where("doc_id <> rep").select("doc_id", "rep").distinct()
     points = groups.groupBy(F.col("rep").alias("doc_id")).agg(F.min_by("f0", "same").alias("f0"), F.min_by("f1", "same").alias("f1"), F.min_by("keys", "same").alias("keys"))
-    edges = cut(candidate_edges(points, radius, shard_rows))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows that repeat a doc_id are one document; its least text stands for it
-    sets = word_pairs(docs.select("doc_id", "text").where("text <> ''").join(ends, "doc_id", "left_semi"))
-    sets = sets.groupBy("doc_id").agg(F.min("pairs").alias("pairs"))
-    left, right = sets.toDF("a", "pa"), sets.toDF("b", "pb")
-    shared = F.size(F.array_intersect("pa", "pb"))
-    true = edges.join(left, "a").join(right, "b").where(shared >= jaccard * (F.size("pa") + F.size("pb") - shared)).select("a", "b")
+    spread = spread_points(points, shard_rows)
+    hits = cut(candidate_hits(spread, radius))
+    tree = cut(hits.where(F.col("kind") == TREE).select("a", "b").distinct())
+    true = cut(verified(docs, tree, jaccard))
+    # a false edge may have kept a true one off the forest: what the verified edges leave apart is verified in full
+    label = components(true).toDF("doc_id", "root")
+    rest, full = hits.where(F.col("kind") == HIT).select("a", "b"), hits.where(F.col("kind") == FULL).select("shard", "part", F.col("a").alias("doc_id"))
+    if not full.isEmpty():
+        rest = rest.union(scan_again(spread, full, label, radius))
+    rest = rest.distinct().join(tree, ["a", "b"], "left_anti").join(label.toDF("a", "ra"), "a", "left").join(label.toDF("b", "rb"), "b", "left")
+    rest = cut(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    if not rest.isEmpty():
+        true = true.union(verified(docs, rest, jaccard))
     roots = components(true.union(exact.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 

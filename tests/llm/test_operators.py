@@ -293,6 +293,24 @@ def test_copies_of_a_hot_group(spark):
     assert len(got) == 399 and {r.keep_id for r in got} == {0}
 
 
+def test_reordered_text_hides_no_copy(spark):
+    """A text of the same words in another order is as near as the true copy, and of lesser doc_id; it fails, and the copy is still found."""
+    rng = random.Random(11)
+    base = [f"word{i}x" for i in range(200)]
+    other = rng.sample(base, 200)
+    near = base[:100] + ["word999x"] + base[101:]
+    docs = table(spark, [(i, " ".join(w), "en", "s") for i, w in enumerate((other, base, near))])
+    assert {(r.doc_id, r.keep_id) for r in near_dedup.near_duplicates(docs).collect()} == {(2, 1)}
+
+
+def test_scan_again_leaves_no_pair(spark):
+    """Rows with a full beam meet all points of their part but those of their component."""
+    spread = spark.createDataFrame([(0, 0, i, i % 2, 0, True) for i in range(6)], "shard long, part int, doc_id long, f0 long, f1 long, own boolean")
+    full = spark.createDataFrame([(0, 0, 1)], "shard long, part int, doc_id long")
+    label = spark.createDataFrame([(2, 1), (5, 4)], "doc_id long, root long")
+    assert rows(near_dedup.scan_again(spread, full, label)) == [(0, 1), (1, 3), (1, 4), (1, 5)]
+
+
 # 9
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
