@@ -2,8 +2,10 @@
 
 1. A source's rows, in the order of a seeded hash, form blocks of `block_rows` rows (the last may hold
    fewer). Only the counts by source reach the driver.
-2. `total` blocks are divided among the sources by weight; a source that has fewer gives all it has,
-   and the others share what is left by their weights. Largest remainders make the quotas whole.
+2. Without target weights the sources' own shares are the target, and all blocks are drawn. With them, the
+   total is the greatest at which the sources reach their weights. Where `keep` names another total, that is
+   divided by weight; a source that has fewer gives all it has, and the others share what is left by their
+   weights. Largest remainders make the quotas whole.
 3. The vector of quotas is the root of a binary tree over the output shards. A node splits its vector
    by one multivariate-hypergeometric draw, seeded by seed and node, until each shard has its exact
    count of blocks of every source.
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut, table
 
-BLOCK_ROWS, SHARD_ROWS, MOST_SHARDS, KEEP, SEED, BUCKETS = 16, 4096, 65_536, 0.75, 42, 1024
+BLOCK_ROWS, SHARD_ROWS, MOST_SHARDS, SEED, BUCKETS = 16, 4096, 65_536, 42, 1024
+#: Target weights by source of the query and the stage; None: the sources' own shares, as no others are given.
+WEIGHTS: Mapping[str | None, float] | None = None
 
 
 def quotas(available: list[int], weights: list[float], total: int) -> list[int]:
@@ -49,6 +53,12 @@ def quotas(available: list[int], weights: list[float], total: int) -> list[int]:
     return out
 
 
+def reachable(available: list[int], weights: list[float]) -> int:
+    """The greatest total of blocks at which no source of positive weight and with any block falls short of its share."""
+    some = [(n, w) for n, w in zip(available, weights) if n > 0 and w > 0]
+    return int(min((n / w for n, w in some), default=0) * sum(w for _, w in some) + 1e-9)
+
+
 def split(quota: list[int], shards: int, seed: int) -> np.ndarray:
     """[shard, source] blocks: the tree of draws. Shards differ by one block at most."""
     out = np.zeros((shards, len(quota)), np.int64)
@@ -68,19 +78,22 @@ def split(quota: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def mix(
-    docs: DataFrame, weights: Mapping[str | None, float] | None = None, keep: float = KEEP, shards: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, buckets: int = BUCKETS, default_weight: float = 1.0
+    docs: DataFrame, weights: Mapping[str | None, float] | None = None, keep: float | None = None, shards: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, buckets: int = BUCKETS, default_weight: float = 1.0
 ) -> DataFrame:
     """The columns of docs, shard and position: each drawn row once.
 
-    `keep` of all blocks (rounded down, at least one if there is any) are drawn. A source that
-    `weights` doesn't name weighs default_weight; a null source is a source of its own; a weight of 0
+    keep None: without weights all rows are drawn, with them as many blocks as reachable() says. Else
+    `keep` of all blocks (rounded down, at least one if there is any) are drawn, by equal weights where none
+    are given. A source that `weights` doesn't name weighs default_weight; a null source is a source of its own; a weight of 0
     draws nothing, a negative one is an error. shards: as many as hold SHARD_ROWS rows each, MOST_SHARDS
     at most, unless given. Rows that repeat are rows of their own: the hash of doc_id and text orders
     them, and the other columns order those that tie. Columns of docs called shard or position are
     replaced. An empty table gives an empty result.
     """
+    if weights is None and keep is None:
+        keep = 1.0
     weights = dict(weights or {})
-    if min([default_weight, *weights.values()]) < 0 or block_rows < 1 or not 0 <= keep <= 1 or (shards is not None and shards < 1):
+    if min([default_weight, *weights.values()]) < 0 or block_rows < 1 or not 0 <= (1 if keep is None else keep) <= 1 or (shards is not None and shards < 1):
         raise ValueError("weights must be 0 or more, shards and block_rows 1 or more, keep between 0 and 1")
     names = [c for c in docs.columns if c not in ("shard", "position")]
     tie = [F.col(f"row.`{c}`") for c in ("doc_id", "text") if c in names] or [F.lit(0)]
@@ -92,8 +105,9 @@ def mix(
     sizes = cut(rows.groupBy("named", "bucket").agg(F.count(F.lit(1)).alias("n")))
     totals = sorted((r["named"], r["n"]) for r in sizes.groupBy("named").agg(F.sum("n").alias("n")).collect())
     blocks = [-(-n // block_rows) for _, n in totals]
-    total = min(sum(blocks), max(int(keep * sum(blocks)), 1 if keep else 0))
-    quota = quotas(blocks, [weights.get(s[1:] if s[0] == "1" else None, default_weight) for s, _ in totals], total)
+    weight = [weights.get(s[1:] if s[0] == "1" else None, default_weight) for s, _ in totals]
+    total = reachable(blocks, weight) if keep is None else min(sum(blocks), max(int(keep * sum(blocks)), 1 if keep else 0))
+    quota = quotas(blocks, weight, total)
     if shards is None:
         shards = max(1, min(MOST_SHARDS, -(-total * block_rows // SHARD_ROWS)))
     upto = np.cumsum(split(quota, shards, seed), 0)
@@ -130,9 +144,9 @@ def _affine(n: int, seed: int, source: int) -> tuple[int, int]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The drawn rows; a shard is in one partition, in the order of position."""
-    return mix(docs).sortWithinPartitions("shard", "position").select(*docs.columns)
+    return mix(docs, WEIGHTS).sortWithinPartitions("shard", "position").select(*docs.columns)

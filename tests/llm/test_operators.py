@@ -75,6 +75,16 @@ def test_mix(spark, odd, none):
         mixing.mix(docs, {"big": -1})
 
 
+def test_mix_drops_only_what_the_weights_need(spark):
+    docs = table(spark, [(i, f"t{i}", "en", "big" if i % 4 else f"s{i // 4 % 2}") for i in range(800)])
+    assert mixing.mix(docs).count() == 800 and mixing.stage(spark, docs, SF).count() == 800
+    got = mixing.mix(docs, {"big": 2, "s0": 1, "s1": 1}, block_rows=4)
+    assert {r[0]: r[1] for r in got.groupBy("source").count().collect()} == {"big": 200, "s0": 100, "s1": 100}
+    at_target = mixing.mix(docs, {"big": 6, "s0": 1, "s1": 1}, block_rows=4)
+    assert at_target.count() == 800
+    assert mixing.reachable([10, 0, 5], [1, 1, 0]) == 10 and mixing.reachable([], []) == 0
+
+
 # 2
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(7, None, None), (7, None, None), (None, "u", "<b>")], "page_id long, url string, html string")
