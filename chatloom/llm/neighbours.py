@@ -6,8 +6,10 @@
    stored in parts.
 3. Every vector is a query: it visits all parts of its `probes` nearest lists. There a table of distances from
    its residual to the codewords gives each stored vector's approximate distance (the query itself is
-   not quantised); the `rerank` best are measured exactly, and the `k` nearest of all visits are the result.
-4. The number of probes is that at which an audit by exact search over all vectors shows RECALL.
+   not quantised); the `rerank` best, and all that are as near by it as the last of these, are measured
+   exactly, and the `k` nearest of all visits are the result.
+4. Probes and `rerank` are raised until an audit by exact search over all vectors shows RECALL, both for
+   vectors of all lists and for those of the fullest. With all lists visited and all measured it is exact.
 """
 
 from __future__ import annotations
@@ -45,6 +47,11 @@ def nearest(x: np.ndarray, centers: np.ndarray, k: int = 1) -> np.ndarray:
     return out
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances over the last axis, rounded to 6 places; those that are equal then count as equal."""
+    return np.round(np.sqrt(((a.astype(np.float64) - b) ** 2).sum(-1)), 6)
+
+
 def _sums(label: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros((n, x.shape[1]))
     np.add.at(total, label, x)
@@ -101,7 +108,7 @@ class Index:
         return np.stack([nearest(np.ascontiguousarray(residual[:, j * w : (j + 1) * w]), b)[:, 0] for j, b in enumerate(self.books)], 1).astype(np.uint8)
 
     def visit(self, center: int, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-        """([query, k] row among x or -1, squared distance) of one list's stored vectors."""
+        """([query, k] row among x or -1, distance) of one list's stored vectors."""
         w = self.width
         to = np.full((len(q), k), -1, np.int64)
         far = np.full((len(q), k), np.inf)
@@ -116,12 +123,16 @@ class Index:
                 near += lut[:, codes[:, j]]
             near[ids[:, None] == x_id[None]] = np.inf
             top = np.argpartition(near, rerank - 1, 1)[:, :rerank] if rerank < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
-            exact = ((part[:, None] - x[top]).astype(np.float64) ** 2).sum(2)
-            exact[ids[:, None] == x_id[top]] = np.inf
-            order = np.lexsort((x_id[top], exact), axis=1)[:, :k]
-            n = order.shape[1]
-            far[a : a + block, :n] = np.take_along_axis(exact, order, 1)
-            to[a : a + block, :n] = np.take_along_axis(top, order, 1)
+            last = np.take_along_axis(near, top, 1).max(1)
+            many = np.flatnonzero((near <= last[:, None]).sum(1) > top.shape[1])
+            # vectors tied with the last one: all are measured, for one query at a time
+            for rows, top in [(np.arange(len(part)), top), *((np.array([i]), np.flatnonzero(near[i] <= last[i])[None]) for i in many)]:
+                exact = _distances(part[rows][:, None], x[top])
+                exact[ids[rows][:, None] == x_id[top]] = np.inf
+                order = np.lexsort((x_id[top], exact), axis=1)[:, :k]
+                n = order.shape[1]
+                far[a + rows, :n] = np.take_along_axis(exact, order, 1)
+                to[a + rows, :n] = np.take_along_axis(top, order, 1)
         to[~np.isfinite(far)] = -1
         return to, far
 
@@ -161,7 +172,7 @@ def search(stored: DataFrame, queries: DataFrame, index: Index, probes: int, k:
         codes = np.frombuffer(b"".join(x["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
         to, far = sent.value.visit(key[0].as_py(), _matrix(q["embedding"], dim), q_id, _matrix(x["embedding"], dim), x_id, codes, k, rerank)
         ok = to >= 0
-        flat = pa.StructArray.from_arrays([pa.array(np.round(np.sqrt(far[ok]), 6)), pa.array(x_id[to[ok]])], ["distance", "neighbour"])
+        flat = pa.StructArray.from_arrays([pa.array(far[ok]), pa.array(x_id[to[ok]])], ["distance", "neighbour"])
         return pa.table({"vec_id": pa.array(q_id), "found": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)), flat)})
 
     parts = stored.groupBy("list").agg(F.max("parts").alias("parts"))
@@ -181,17 +192,42 @@ def exact_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = K) -
         q_id, q = sent.value
         for batch in batches:
             x, x_id = _matrix(batch["embedding"], dim).astype(np.float64), batch["vec_id"].to_numpy()
-            far = np.stack([((x - row) ** 2).sum(1) for row in q.astype(np.float64)])
+            far = np.stack([_distances(row, x) for row in q])
             far[q_id[:, None] == x_id[None]] = np.inf
-            order = np.argsort(far, 1, kind="stable")[:, :k]
+            order = np.lexsort((np.broadcast_to(x_id, far.shape), far), axis=1)[:, :k]
             got = np.take_along_axis(far, order, 1).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, order.shape[1])), pa.array(np.round(np.sqrt(got), 6)), pa.array(x_id[order.ravel()])], ["vec_id", "distance", "neighbour"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, order.shape[1])), pa.array(got), pa.array(x_id[order.ravel()])], ["vec_id", "distance", "neighbour"])
 
     rows = vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, distance double, neighbour long").where("distance < double('infinity')")
     best = rows.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("found"))
     return {r["vec_id"]: [(x["distance"], x["neighbour"]) for x in r["found"]] for r in best.collect()}
 
 
+def audit(rows: DataFrame, stored: DataFrame, index: Index, dim: int, k: int, rerank: int, probes: int) -> tuple[int, int]:
+    """(probes, rerank), raised until AUDITED vectors of all, and as many of the fullest list, each show RECALL."""
+    by_hash = [F.xxhash64("vec_id", F.lit(1)), "vec_id"]
+    lists = stored.groupBy("list").count().orderBy(F.desc("count"), "list").first()
+    most = stored.groupBy("list", "part").count().agg(F.max("count")).first()[0]
+    hot = stored.where(F.col("list") == lists["list"]).select("vec_id", "embedding").orderBy(*by_hash).limit(AUDITED)
+    samples = [cut(d) for d in (rows.orderBy(*by_hash).limit(AUDITED), hot)]
+    groups = [{r[0] for r in d.select("vec_id").collect()} for d in samples]
+    audited = cut(samples[0].union(samples[1]).dropDuplicates(["vec_id"]))
+    true = exact_search(rows, audited, dim, k)
+
+    def enough(probes: int, rerank: int) -> bool:
+        got = {r["vec_id"]: {x["neighbour"] for x in r["found"]} for r in search(stored, audited, index, probes, k, rerank).collect()}
+        return all(sum(len(got.get(i, set()) & {x for _, x in true.get(i, [])}) for i in g) >= RECALL * sum(len(true.get(i, [])) for i in g) for g in groups)
+
+    while not enough(probes, rerank):
+        if probes < len(index.coarse) and not enough(probes, most):  # even with all vectors of the visited lists measured
+            probes += max(1, probes // 2)
+        elif rerank < most:
+            rerank *= 2
+        else:
+            break
+    return probes, rerank
+
+
 def neighbours(embeddings: DataFrame, k: int = K, rerank: int = RERANK, probes: int = PROBES, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest others of every vector, by Euclidean distance; equal ones by id.
 
@@ -221,14 +257,7 @@ def neighbours(embeddings: DataFrame, k: int = K, rerank: int = RERANK, probes:
     stored = rows.mapInArrow(store, "list int, vec_id long, embedding array<float>, codes binary")
     sizes = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
     stored = cut(stored.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")))
-    audited = cut(rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(AUDITED))
-    true = exact_search(rows, audited, dim, k)
-    want = sum(map(len, true.values()))
-    while probes < len(index.coarse):
-        got = {r["vec_id"]: {x["neighbour"] for x in r["found"]} for r in search(stored, audited, index, probes, k, rerank).collect()}
-        if sum(len(got.get(i, set()) & {x for _, x in found}) for i, found in true.items()) >= RECALL * want:
-            break
-        probes += max(1, probes // 2)
+    probes, rerank = audit(rows, stored, index, dim, k, rerank, probes)
     found = search(stored, rows, index, probes, k, rerank)
     return found.select("vec_id", F.posexplode("found")).select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("col.neighbour").alias("neighbour_id"), F.col("col.distance").alias("distance"))
 

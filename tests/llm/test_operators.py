@@ -380,6 +380,31 @@ def test_neighbours(spark):
     assert sum(len(true[i] & {b for _, b in v}) for i, v in found.items()) >= 0.9 * 10 * len(ids)
 
 
+def test_neighbours_of_many_copies(spark):
+    """Equal vectors, many more than are reranked, come by id."""
+    rng = np.random.Generator(np.random.Philox(9))
+    x = np.round(rng.normal(size=(900, 8)), 3)
+    x[300:600] = x[300]
+    ids = rng.permutation(900)
+    emb = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.neighbours(emb, rerank=16).collect():
+        found.setdefault(r.vec_id, {})[r.rank] = r.neighbour_id
+    copies = sorted(ids[300:600].tolist())
+    for i in copies:
+        assert [found[i][n] for n in range(1, 11)] == [c for c in copies[:11] if c != i][:10]
+
+
+def test_audit_raises_rerank(spark):
+    rng = np.random.Generator(np.random.Philox(10))
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = neighbours.Index(np.zeros((1, 16), np.float32), [rng.normal(size=(64, 16)).astype(np.float32)])  # few codewords: codes tell little
+    stored = spark.createDataFrame([(0, 0, 1, i, v.tolist(), bytes(c)) for i, (v, c) in enumerate(zip(x, index.codes(x)))], "list int, part int, parts int, vec_id long, embedding array<float>, codes binary")
+    probes, rerank = neighbours.audit(rows_, stored, index, 16, 10, 10, 1)
+    assert probes == 1 and rerank > 10
+
+
 def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     some = [(1, v), (1, v), (2, v), (3, [5.0, 5.0, 5.0, 5.0]), (None, v), (4, None), (5, []), (6, [1.0]), (7, [float("nan")] * 4), (8, [None, 1.0, 1.0, 1.0])]
