@@ -365,30 +365,44 @@ def test_tables_equal_the_network():
 
 
 # 10
+def brute_neighbours(ids, x, k=10):
+    far = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    np.fill_diagonal(far, np.inf)
+    return {i: [ids[j] for j in sorted(range(len(ids)), key=lambda j: (far[n, j], ids[j])) if np.isfinite(far[n, j])][:k] for n, i in enumerate(ids)}
+
+
 def test_neighbours(spark):
-    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = neighbours.neighbours(emb, list_rows=32, part_rows=20)
+    emb = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = neighbours.neighbours(emb, list_rows=32, bucket_rows=100, every=2)
     ids, x = zip(*((r.vec_id, r.embedding) for r in emb.orderBy("vec_id").collect()))
-    x = np.array(x, np.float64)
-    far = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(far, np.inf)
-    true = {i: {ids[j] for j in np.argsort(far[n], kind="stable")[:10]} for n, i in enumerate(ids)}
+    true = brute_neighbours(ids, np.array(x, np.float64))
     found = {}
     for r in got.collect():
         found.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id))
-    assert all(sorted(k for k, _ in v) == list(range(1, 11)) for v in found.values()) and len(found) == len(ids)
-    assert sum(len(true[i] & {b for _, b in v}) for i, v in found.items()) >= 0.9 * 10 * len(ids)
+    assert all(sorted(k for k, _ in v) == list(range(1, 11)) for v in found.values()) and set(found) == {i for i in ids if i % 2 == 0}
+    assert sum(len(set(true[i]) & {b for _, b in v}) for i, v in found.items()) >= 0.9 * 10 * len(found)
+
+
+def test_neighbours_exactly(spark):
+    """With all lists visited and all measured it is brute force; the query's set is the ids divisible by 100."""
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    ids, x = zip(*((r.vec_id, r.embedding) for r in emb.orderBy("vec_id").collect()))
+    true = brute_neighbours(ids, np.array(x, np.float64))
+    got = {}
+    for r in neighbours.neighbours(emb, rerank=10_000, recall=1.0).orderBy("rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert got == {i: v for i, v in true.items() if i % 100 == 0} and got
 
 
 def test_neighbours_of_many_copies(spark):
-    """Equal vectors, many more than are reranked, come by id."""
+    """Equal vectors, many more than are reranked, come by id; a list fuller than a bucket lies in parts."""
     rng = np.random.Generator(np.random.Philox(9))
     x = np.round(rng.normal(size=(900, 8)), 3)
     x[300:600] = x[300]
     ids = rng.permutation(900)
     emb = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
     found = {}
-    for r in neighbours.neighbours(emb, rerank=16).collect():
+    for r in neighbours.neighbours(emb, rerank=16, every=1, bucket_rows=128).collect():
         found.setdefault(r.vec_id, {})[r.rank] = r.neighbour_id
     copies = sorted(ids[300:600].tolist())
     for i in copies:
@@ -400,17 +414,17 @@ def test_audit_raises_rerank(spark):
     x = rng.normal(size=(600, 16)).astype(np.float32)
     rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     index = neighbours.Index(np.zeros((1, 16), np.float32), [rng.normal(size=(64, 16)).astype(np.float32)])  # few codewords: codes tell little
-    stored = spark.createDataFrame([(0, 0, 1, i, v.tolist(), bytes(c)) for i, (v, c) in enumerate(zip(x, index.codes(x)))], "list int, part int, parts int, vec_id long, embedding array<float>, codes binary")
-    probes, rerank = neighbours.audit(rows_, stored, index, 16, 10, 10, 1)
+    stored, where = neighbours.store(rows_, index, 16)
+    probes, rerank = neighbours.audit(rows_, stored, where, index, 16, 10, 10)
     assert probes == 1 and rerank > 10
 
 
 def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0, 4.0]
-    some = [(1, v), (1, v), (2, v), (3, [5.0, 5.0, 5.0, 5.0]), (None, v), (4, None), (5, []), (6, [1.0]), (7, [float("nan")] * 4), (8, [None, 1.0, 1.0, 1.0])]
-    emb = spark.createDataFrame(some, "vec_id long, embedding array<float>").withColumn("list", F.lit(0)).withColumn("part", F.lit(0)).withColumn("codes", F.lit("c"))
-    got = rows(neighbours.neighbours(emb).select("vec_id", "rank", "neighbour_id", "distance"))
-    assert [r[:3] for r in got] == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)] and got[0][3] == 0
+    some = [(1, v), (1, v), (2, v), (3, [5.0, 5.0, 5.0, 5.0]), (None, v), (4, None), (5, []), (6, [1.0]), (9, [3.0]), (7, [float("nan")] * 4), (8, [None, 1.0, 1.0, 1.0])]
+    emb = spark.createDataFrame(some, "vec_id long, embedding array<float>").withColumn("list", F.lit(0)).withColumn("bucket", F.lit(0)).withColumn("codes", F.lit("c"))
+    got = rows(neighbours.neighbours(emb, every=1).select("vec_id", "rank", "neighbour_id", "distance"))
+    assert [r[:3] for r in got] == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2), (6, 1, 9), (9, 1, 6)] and got[0][3] == 0
     assert neighbours.neighbours(emb.limit(0)).count() == 0
     assert neighbours.neighbours(emb.where("vec_id = 3")).count() == 0
 
