@@ -1,16 +1,20 @@
 """SimHash near-duplicates: navigable small-world graphs over Hamming distance.
 
-1. Every text gets a 128-bit SimHash of its distinct words, and `routes` min-wise keys of the same
-   words. Texts equal byte for byte collapse to one point first.
+1. Every text gets a 128-bit SimHash of its distinct words, and `routes` min-wise keys of the same words, in
+   which a word of LONG_WORD bytes or more is 16 times as likely to be the least as a shorter one. Texts equal
+   byte for byte collapse to one point first, wordless ones too.
 2. A key sends a point to one shard, so that a copy shares a shard with its original unless all of
-   the keys differ. A shard holds about `shard_rows` points. The points of a fuller one (a very
-   frequent key) are split among parts, and each query of that shard is broadcast to all of its parts.
-3. In each part a navigable small-world graph is built, and every row searches it as a query. A beam
-   full of hits expands; one still full after that is replaced by an exact scan of the part. Some
-   queries of each part are audited by exact scan; under `recall` the beam doubles and all repeat.
-4. A minimum spanning forest of the hits of a part is verified on the texts first, by the Jaccard
-   similarity of the sets of word pairs. Then all other hits between points that verified edges don't
-   connect are verified too, those of the exact scans with them; verified edges are unioned.
+   the keys differ: this routing replaces the broadcast of every query to every shard. A shard holds about
+   `shard_rows` points. The points of one of more than four times as many (a very frequent key) are split among
+   parts, and each query of that shard is broadcast to all of its parts.
+3. In each part a navigable small-world graph is built, and every row searches it as a query. Some
+   queries of each part are audited by exact scan; under `recall` the beam expands to twice its size and all
+   repeat. A row whose beam is full of hits is held against all points of the part but those of its tree.
+4. Minimum spanning trees of the hits of each part are verified on the texts, by the Jaccard similarity of
+   the sets of word pairs; verified edges are unioned. Where an edge of a tree fails, all pairs at most
+   `radius` apart of that tree's points with points of other components are verified too.
+5. Recall across shards is audited: AUDITED points of all and AUDITED of those with copies are compared with all
+   fingerprints, and what is close but apart is verified. Under `recall`, all repeats with twice the routes.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm import text as T
@@ -27,26 +31,23 @@ from chatloom.llm.common import components, cut, table
 
 RADIUS, JACCARD, ROUTES, SHARD_ROWS = 26, 0.5, 4, 8192
 FORWARD, REVERSE, BEAM, STEP, ENTRIES, AUDITED, RECALL = 8, 16, 32, 4, 16, 32, 0.95
-LONG_WORD, FEW_WORDS = 4, 4
-TREE, HIT, FULL = 0, 1, 2
+LONG_WORD, MOST_ROUTES = 4, 64
 _BIG = np.int64(1) << 62
 
 
-def distinct_words(h: np.ndarray, length: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of each row's distinct words of LONG_WORD bytes or more (of all words, if fewer than FEW_WORDS are so long)."""
+def distinct_words(h: np.ndarray, length: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of each row's distinct words, whether each has LONG_WORD bytes or more, pointer of the rows)."""
     own = T.owners(ptr)
-    long = length >= LONG_WORD
-    few = np.bincount(own[long], minlength=len(ptr) - 1) < FEW_WORDS
-    keep = long | few[own]
+    word = (h >> np.uint64(16) << np.uint64(1)) | (length >= LONG_WORD)  # 48 bits, and the length's
     out = []
-    for first in range(0, max(1, len(ptr) - 1), 1 << 15):  # a row's number has 16 bits of the key
-        part = keep & (own >= first) & (own < first + (1 << 15))
-        key = np.sort(((own[part] - first).astype(np.uint64) << np.uint64(48)) | (h[part] >> np.uint64(16)))
+    for first in range(0, max(1, len(ptr) - 1), 1 << 15):  # a row's number has 15 bits of the key
+        part = slice(ptr[first], ptr[min(first + (1 << 15), len(ptr) - 1)])
+        key = np.sort(((own[part] - first).astype(np.uint64) << np.uint64(49)) | word[part])
         if len(key):
             key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        out.append(((key >> np.uint64(48)).astype(np.int64) + first, key & np.uint64((1 << 48) - 1)))
+        out.append(((key >> np.uint64(49)).astype(np.int64) + first, key & np.uint64((1 << 49) - 1)))
     own, word = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    return T.mix64(word), np.searchsorted(own, np.arange(len(ptr)))
+    return T.mix64(word >> np.uint64(1)), (word & np.uint64(1)).astype(bool), np.searchsorted(own, np.arange(len(ptr)))
 
 
 def simhash(features: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -66,38 +67,36 @@ def simhash(features: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-def min_keys(features: np.ndarray, ptr: np.ndarray, routes: int) -> np.ndarray:
-    """For each of `routes` hash functions, the least value among a row's features."""
+def min_keys(features: np.ndarray, long: np.ndarray, ptr: np.ndarray, routes: int) -> np.ndarray:
+    """For each of `routes` hash functions, the least value among a row's features; those of long words are divided by 16."""
     out = np.zeros((len(ptr) - 1, routes), np.uint64)
     filled = np.diff(ptr) > 0
+    shift = np.where(long, 4, 0).astype(np.uint64)
     for k in range(routes if filled.any() else 0):
-        out[filled, k] = np.minimum.reduceat(T.mix64(features, 100 + k), ptr[:-1][filled])
+        out[filled, k] = np.minimum.reduceat(T.mix64(features, 100 + k) >> shift, ptr[:-1][filled])
     return out
 
 
 def fingerprints(docs: DataFrame, routes: int = ROUTES) -> DataFrame:
-    """(doc_id, same, f0, f1, keys) of the documents that have a doc_id and some word; same: the text's digest."""
+    """(doc_id, same, f0, f1, keys) of the documents that have a doc_id and a text; same: the text's digest; keys are none where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = T.buffers(batch["text"])
             for a, b, d, o in T.chunks(data, offs):
                 starts, ends, ptr = T.words(low := T.lower(d), o, T.WORD)
-                features, fptr = distinct_words(T.span_hash(low, starts, ends), ends - starts, ptr)
-                fp, keys = simhash(features, fptr).view(np.int64), min_keys(features, fptr, routes).view(np.int64)
-                some = np.flatnonzero(np.diff(fptr) > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.slice(a, b - a).column(c).take(pa.array(some)) for c in ("doc_id", "same")),
-                        pa.array(fp[some, 0]),
-                        pa.array(fp[some, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * routes, pa.int32()), pa.array(keys[some].ravel())),
-                    ],
-                    ["doc_id", "same", "f0", "f1", "keys"],
-                )
-
-    some = docs.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    return some.select("doc_id", F.unhex(F.md5("text")).alias("same"), "text").mapInArrow(run, "doc_id long, same binary, f0 long, f1 long, keys array<long>")
+                features, long, fptr = distinct_words(T.span_hash(low, starts, ends), ends - starts, ptr)
+                fp, keys = simhash(features, fptr).view(np.int64), min_keys(features, long, fptr, routes).view(np.int64)
+                some = np.diff(fptr) > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * routes)]), pa.int32()), pa.array(keys[some].ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.slice(a, b - a).column(c) for c in ("doc_id", "same")), pa.array(fp[:, 0]), pa.array(fp[:, 1]), lists], ["doc_id", "same", "f0", "f1", "keys"])
+
+    some = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    return some.select("doc_id", digest().alias("same"), "text").mapInArrow(run, "doc_id long, same binary, f0 long, f1 long, keys array<long>")
+
+
+def digest() -> Column:
+    return F.unhex(F.md5("text"))
 
 
 class Graph:
@@ -208,8 +207,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, root: list[int
     return kept, root
 
 
-def part_hits(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius: int = RADIUS, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs at most `radius` apart, of all rows as queries against the inserted ones: (id, id, TREE for those of a minimum spanning forest or HIT), and (id, id, FULL) for each row whose beam didn't hold all its hits."""
+def _labels(root: list[int]) -> np.ndarray:
+    r = np.array(root)
+    while (r[r] != r).any():
+        r = r[r]
+    return r
+
+
+def part_trees(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius: int = RADIUS, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, id, tree): the edges of minimum spanning trees of the pairs at most `radius` apart, of all rows as queries against the inserted ones; tree: the id of a point of it."""
     n, own = len(ids), np.flatnonzero(inserted)
     none = np.zeros(0, np.int64)
     if n < 2 or not len(own):
@@ -222,14 +228,6 @@ def part_hits(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius:
         found = graph.search(points, beam)
         hit = found < (np.int64(radius + 1) << 32)
         full = hit[:, -1]
-        if beam < 4 * BEAM and full.any():  # full beams expand
-            wide = graph.search(points[full], 4 * beam)
-            rest = np.full((n, 3 * beam), _BIG, np.int64)
-            rest[full] = wide[:, beam:]
-            found[full] = wide[:, :beam]
-            found = np.concatenate([found, rest], 1)
-            hit = found < (np.int64(radius + 1) << 32)
-            full = hit[:, -1]
         of, col = np.nonzero(hit)
         to, far = spot[found[of, col] & 0xFFFFFFFF], found[of, col] >> 32
         open_ = ~full[audited]
@@ -241,67 +239,53 @@ def part_hits(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius:
     apart = of != to
     of, to, far = of[apart], to[apart], far[apart]
     kept, root = forest(n, of, to, far)
-    rest = np.ones(len(of), bool)
-    rest[kept] = False
-    edges = [(of[kept], to[kept], np.full(len(kept), TREE)), (of[rest], to[rest], np.full(rest.sum(), HIT))]
-    if full.any():  # an exact scan finds what such a beam didn't hold; here pairs of different trees, in scan_again() of different components
-        def labels() -> np.ndarray:
-            r = np.array(root)
-            while (r[r] != r).any():
-                r = r[r]
-            return r
-
-        rows, label = np.flatnonzero(full), labels()
-        for a in range(0, len(rows), 256):
-            q = rows[a : a + 256]
-            d = distances(points[q], points[spot])
-            x, y = np.nonzero((d <= radius) & (label[spot][None, :] != label[q][:, None]))
-            if len(x):
-                kept, root = forest(n, q[x], spot[y], d[x, y], root)
-                edges.append((q[x][kept], spot[y][kept], np.full(len(kept), TREE)))
-                label = labels()
-        edges.append((rows, rows, np.full(len(rows), FULL)))
-    of, to, kind = (np.concatenate(c) for c in zip(*edges))
-    return ids[of], ids[to], kind
+    edges = [(of[kept], to[kept])]
+    rows, label = np.flatnonzero(full), _labels(root)
+    for a in range(0, len(rows), 256):  # what a full beam may not hold: hits outside the row's tree
+        q = rows[a : a + 256]
+        d = distances(points[q], points[spot])
+        x, y = np.nonzero((d <= radius) & (label[spot][None, :] != label[q][:, None]))
+        if len(x):
+            kept, root = forest(n, q[x], spot[y], d[x, y], root)
+            edges.append((q[x][kept], spot[y][kept]))
+            label = _labels(root)
+    of, to = (np.concatenate(c) for c in zip(*edges))
+    return ids[of], ids[to], ids[label[of]]
 
 
 def spread_points(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(shard, part, doc_id, f0, f1, own) of (doc_id, f0, f1, keys): a point in all parts of its shards; own: whether it is inserted in that part."""
+    """(shard, part, node, f0, f1, own) of (node, f0, f1, keys): a point in all parts of its shards; own: whether it is inserted in that part."""
     count = points.agg(F.sum(F.size("keys"))).first()[0] or 0
     shards = max(1, -(-int(count) // shard_rows))
-    spread = points.select("doc_id", "f0", "f1", F.explode(F.array_distinct(F.transform("keys", lambda k: F.pmod(k, F.lit(shards))))).alias("shard"))
+    spread = points.select("node", "f0", "f1", F.explode(F.array_distinct(F.transform("keys", lambda k: F.pmod(k, F.lit(shards))))).alias("shard"))
     parts = spread.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (4 * shard_rows)).cast("int").alias("parts"))
-    parts = parts.select("shard", F.when(F.col("parts") > 1, F.col("parts") * 4).otherwise(1).alias("parts"))
-    spread = spread.join(parts, "shard").withColumn("home", F.pmod(F.xxhash64("doc_id", "shard"), F.col("parts")).cast("int"))
+    spread = spread.join(parts, "shard").withColumn("home", F.pmod(F.xxhash64("node", "shard"), F.col("parts")).cast("int"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return spread.select("shard", "part", "doc_id", "f0", "f1", (F.col("home") == F.col("part")).alias("own"))
+    return cut(spread.select("shard", "part", "node", "f0", "f1", (F.col("home") == F.col("part")).alias("own")))
 
 
 def _points(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fp = np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(np.uint64)
-    return t["doc_id"].to_numpy(), np.ascontiguousarray(fp), t["own"].to_numpy(zero_copy_only=False)
+    return t["node"].to_numpy(), np.ascontiguousarray(fp), t["own"].to_numpy(zero_copy_only=False)
 
 
-def candidate_hits(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(shard, part, a, b, kind), a <= b: what part_hits() finds in every part, a pair of a part once."""
+def candidate_trees(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(shard, part, a, b, tree), a < b: what part_trees() finds in every part."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        a, b, kind = part_hits(*_points(t.combine_chunks().sort_by("doc_id")), radius)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((kind, high, low))
-        low, high, kind = low[order], high[order], kind[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        n = int(new.sum())
-        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int64()), "part": pa.array([key[1].as_py()] * n, pa.int32()), "a": pa.array(low[new], pa.int64()), "b": pa.array(high[new], pa.int64()), "kind": pa.array(kind[new].astype(np.int32))})
+        a, b, tree = part_trees(*_points(t.combine_chunks().sort_by("node")), radius)
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(a), pa.int64()), "part": pa.array([key[1].as_py()] * len(a), pa.int32()), "a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "tree": pa.array(tree, pa.int64())})
 
-    return spread.groupBy("shard", "part").applyInArrow(run, "shard long, part int, a long, b long, kind int")
+    parts = spread.select("shard", "part").distinct().count()
+    # a number of its own: bytes, by which partitions are joined at run time, say nothing of the searches' cost
+    tasks = max(1, min(parts, max(4 * spread.sparkSession.sparkContext.defaultParallelism, parts // 16)))
+    return spread.repartition(tasks, "shard", "part").groupBy("shard", "part").applyInArrow(run, "shard long, part int, a long, b long, tree long")
 
 
-def scan_again(spread: DataFrame, full: DataFrame, label: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), a < b: all pairs at most `radius` apart of the rows `full` (shard, part, doc_id) with the points of their part, but for pairs of one component of `label` (doc_id, root)."""
-    asked = spread.join(full.select("shard", "part").distinct(), ["shard", "part"], "left_semi").join(full.withColumn("asks", F.lit(True)), ["shard", "part", "doc_id"], "left").join(label, "doc_id", "left")
-    asked = asked.select("shard", "part", "doc_id", "f0", "f1", "own", F.coalesce("asks", F.lit(False)).alias("asks"), F.coalesce("root", "doc_id").alias("root"))
+def scan_again(spread: DataFrame, asks: DataFrame, label: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: all pairs at most `radius` apart of the points `asks` (shard, part, node) with the points of their part, but for pairs of one component of `label` (node, root)."""
+    asked = spread.join(asks.select("shard", "part").distinct(), ["shard", "part"], "left_semi").join(asks.withColumn("asks", F.lit(True)), ["shard", "part", "node"], "left").join(label, "node", "left")
+    asked = asked.select("shard", "part", "node", "f0", "f1", "own", F.coalesce("asks", F.lit(False)).alias("asks"), F.coalesce("root", "node").alias("root"))
 
     def run(t: pa.Table) -> pa.Table:
         ids, points, own = _points(t)
@@ -318,7 +302,7 @@ def scan_again(spread: DataFrame, full: DataFrame, label: DataFrame, radius: int
 
 
 def word_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pairs): sorted hashes of the distinct pairs of adjacent words; of the word, where there is one only."""
+    """(node, pairs) of (node, text): sorted hashes of the distinct pairs of adjacent words; of the word, where there is one only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,49 +314,79 @@ def word_pairs(docs: DataFrame) -> DataFrame:
                 lists = [np.unique(grams[gptr[i] : gptr[i + 1]] if gptr[i + 1] > gptr[i] else h[ptr[i] : ptr[i + 1]]) for i in range(b - a)]
                 ends_ = np.cumsum([0, *map(len, lists)])
                 flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.slice(a, b - a).column("doc_id"), pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.array(flat))], ["doc_id", "pairs"])
+                yield pa.RecordBatch.from_arrays([batch.slice(a, b - a).column("node"), pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.array(flat))], ["node", "pairs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pairs array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, pairs array<long>")
 
 
-def verified(docs: DataFrame, edges: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """The edges (a, b) whose texts have a Jaccard similarity of word pairs of `jaccard` or more."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows that repeat a doc_id are one document; its least text stands for it
-    sets = word_pairs(docs.select("doc_id", "text").where("text <> ''").join(ends, "doc_id", "left_semi"))
-    sets = sets.groupBy("doc_id").agg(F.min("pairs").alias("pairs"))
+def verified(docs: DataFrame, texts: DataFrame, edges: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """The edges (a, b) between nodes whose texts have a Jaccard similarity of word pairs of `jaccard` or more."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", F.col("rep").alias("doc_id"), "same"), "node")
+    rows = docs.select("doc_id", digest().alias("same"), "text").where("text <> ''").join(ends, ["doc_id", "same"])
+    sets = word_pairs(rows).groupBy("node").agg(F.first("pairs").alias("pairs"))  # rows that repeat have one text
     left, right = sets.toDF("a", "pa"), sets.toDF("b", "pb")
     shared = F.size(F.array_intersect("pa", "pb"))
     return edges.join(left, "a").join(right, "b").where(shared >= jaccard * (F.size("pa") + F.size("pb") - shared)).select("a", "b")
 
 
+def routing_recall(docs: DataFrame, texts: DataFrame, roots: DataFrame, radius: int, jaccard: float) -> float:
+    """Of the pairs at most `radius` apart that verify, of AUDITED points of all and AUDITED with copies, the share that is in one component."""
+    points = texts.where(F.size("keys") > 0).select("node", "f0", "f1")
+    by_hash = F.xxhash64("node", F.lit(3))
+    some = points.join(roots.select("node"), "node", "left_semi").orderBy(by_hash).limit(AUDITED)
+    t = points.orderBy(by_hash).limit(AUDITED).union(some).distinct().toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((t["node"].to_numpy(), np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = sent.value
+        for batch in batches:
+            near, mine = np.stack([batch["f0"].to_numpy(), batch["f1"].to_numpy()], 1).view(np.uint64), batch["node"].to_numpy()
+            x, y = np.nonzero((distances(asked, near) <= radius) & (ids[:, None] != mine[None]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], mine[y])), pa.array(np.maximum(ids[x], mine[y]))], ["a", "b"])
+
+    pairs = points.mapInArrow(run, "a long, b long").distinct().join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    pairs = cut(pairs.select("a", "b", (F.coalesce("ra", "a") == F.coalesce("rb", "b")).alias("met")))
+    met = pairs.where("met").count()
+    apart = pairs.where("not met").select("a", "b")
+    lost = 0 if apart.isEmpty() else verified(docs, texts, apart, jaccard).count()
+    return met / (met + lost) if met + lost else 1.0
+
+
+def copies(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, routes: int = ROUTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, same, keep_id) of each document that has a copy before it; a document is a doc_id and a text, whose digest is `same`."""
+    prints = cut(fingerprints(docs, routes))
+    texts = prints.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys"))
+    # the least doc_id of a text is its node; where texts share that, the others' nodes are hashes
+    one = F.row_number().over(Window.partitionBy("rep").orderBy("same")) == 1
+    texts = cut(texts.withColumn("node", F.when(one, F.col("rep")).otherwise(F.xxhash64("rep", "same"))))
+    spread = spread_points(texts.where(F.size("keys") > 0), shard_rows)
+    trees = cut(candidate_trees(spread, radius))
+    tried = cut(trees.select("a", "b").distinct())
+    true = cut(verified(docs, texts, tried, jaccard))
+    roots = components(true).toDF("node", "root")
+    failed = cut(trees.join(true, ["a", "b"], "left_anti").select("shard", "part", "tree").distinct())
+    if not failed.isEmpty():
+        asks = trees.join(failed, ["shard", "part", "tree"], "left_semi").select("shard", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
+        rest = cut(scan_again(spread, asks, roots, radius).distinct().join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            roots = components(true.union(verified(docs, texts, rest, jaccard))).toDF("node", "root")
+    if routes < MOST_ROUTES and routing_recall(docs, texts, roots, radius, jaccard) < RECALL:
+        return copies(docs, radius, jaccard, 2 * routes, shard_rows)
+    mine = prints.select("doc_id", "same").distinct().join(texts.select("same", "node"), "same").join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root"))
+    kept = mine.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return mine.join(kept, "root").where("struct(doc_id, same) <> kept").select("doc_id", "same", F.col("kept.doc_id").alias("keep_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, routes: int = ROUTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, keep_id) of each document that has an exact or near copy with a lesser doc_id; keep_id: the least of its group.
 
-    A document is identified by doc_id: rows that repeat one share its groups. Rows with a null
-    doc_id, and null or wordless texts, are never copies. Other columns aren't read. Long texts are
-    read whole. An empty table gives no rows. Equal distances resolve by the order of doc_id.
+    Rows that repeat doc_id and text are one document. Different texts of one doc_id are documents of their
+    own, the one of least digest before the others; here a doc_id has a row for each keep_id of its texts, but
+    none for itself. Texts equal byte for byte are copies, be they empty or without a word; others without a
+    word have no near copies. Rows with a null doc_id or text are never copies. Other columns aren't read. Long
+    texts are read whole. An empty table gives no rows. Equal distances resolve by the order of doc_id.
     """
-    prints = cut(fingerprints(docs, routes))
-    groups = prints.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys"))
-    groups = cut(groups)
-    exact = prints.select("doc_id", "same").join(groups.select("same", "rep"), "same").where("doc_id <> rep").select("doc_id", "rep").distinct()
-    points = groups.groupBy(F.col("rep").alias("doc_id")).agg(F.min_by("f0", "same").alias("f0"), F.min_by("f1", "same").alias("f1"), F.min_by("keys", "same").alias("keys"))
-    spread = spread_points(points, shard_rows)
-    hits = cut(candidate_hits(spread, radius))
-    tree = cut(hits.where(F.col("kind") == TREE).select("a", "b").distinct())
-    true = cut(verified(docs, tree, jaccard))
-    # a false edge may have kept a true one off the forest: what the verified edges leave apart is verified in full
-    label = components(true).toDF("doc_id", "root")
-    rest, full = hits.where(F.col("kind") == HIT).select("a", "b"), hits.where(F.col("kind") == FULL).select("shard", "part", F.col("a").alias("doc_id"))
-    if not full.isEmpty():
-        rest = rest.union(scan_again(spread, full, label, radius))
-    rest = rest.distinct().join(tree, ["a", "b"], "left_anti").join(label.toDF("a", "ra"), "a", "left").join(label.toDF("b", "rb"), "b", "left")
-    rest = cut(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    if not rest.isEmpty():
-        true = true.union(verified(docs, rest, jaccard))
-    roots = components(true.union(exact.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    return copies(docs, radius, jaccard, routes, shard_rows).where("doc_id <> keep_id").select("doc_id", "keep_id").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,5 +394,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents but those with a copy of lesser doc_id; of each group one stays. Null ids stay."""
-    return docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents but those with a copy before them, as copies() says; of each group one stays. Rows with a null id or text stay."""
+    names = docs.columns
+    gone = copies(docs).select(F.col("doc_id").alias("id"), "same").alias("gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("id"), digest().alias("same"))
+    return rows.join(gone, ["id", "same"], "left_anti").select("row.*")

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -245,36 +246,32 @@ def test_shards(spark, odd, none):
 
 
 # 8
-def brute_pairs(texts, radius=near_dedup.RADIUS, jaccard=near_dedup.JACCARD):
-    """Pairs of close fingerprints, and whether they verify."""
-    prints, sets = {}, {}
+def jaccards(texts):
+    """Every pair of texts and the Jaccard similarity of their sets of adjacent words, by plain sets."""
+    sets = {}
     for i, t in texts.items():
-        d = T.lower(np.frombuffer(t.encode(), np.uint8))
-        o = np.array([0, len(d)])
-        s, e, p = T.words(d, o, T.WORD)
-        h = T.span_hash(d, s, e)
-        f, fp = near_dedup.distinct_words(h, e - s, p)
-        if len(h):
-            prints[i], sets[i] = near_dedup.simhash(f, fp)[0], set((T.ngrams(h, p, 2)[0] if len(h) > 1 else h).tolist())
-    out = set()
-    for a, b in itertools.combinations(sorted(prints), 2):
-        if np.bitwise_count(prints[a] ^ prints[b]).sum() <= radius and len(sets[a] & sets[b]) >= jaccard * len(sets[a] | sets[b]):
-            out.add((a, b))
-    return out
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
+        if w:
+            sets[i] = set(zip(w, w[1:])) or {(w[0],)}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both:
+            yield a, b, both / (len(sets[a]) + len(sets[b]) - both)
 
 
 def test_near_duplicates(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = brute_pairs(texts)
+    pairs = list(jaccards(texts))
     got = {r.doc_id: r.keep_id for r in near_dedup.near_duplicates(docs, shard_rows=64).collect()}
     root = lambda i: got.get(i, i)
-    found = sum(root(a) == root(b) for a, b in want)
-    assert want and found >= 0.9 * len(want)
+    sure = [(a, b) for a, b, j in pairs if j >= 0.8]
+    assert sure and sum(root(a) == root(b) for a, b in sure) >= 0.97 * len(sure)
     group = {}
-    for a, b in want:  # nothing is joined that isn't connected by true pairs
-        group.setdefault(a, set()).add(b)
-        group.setdefault(b, set()).add(a)
+    for a, b, j in pairs:  # nothing is joined that isn't connected by true pairs
+        if j >= near_dedup.JACCARD:
+            group.setdefault(a, set()).add(b)
+            group.setdefault(b, set()).add(a)
     for i, k in got.items():
         seen, todo = {i}, [i]
         while todo:
@@ -290,6 +287,37 @@ def test_near_duplicates(spark, odd, none):
     assert near_dedup.stage(spark, none, SF).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """A document is an id and a text: nothing goes with a copy but the copy."""
+    rng = random.Random(12)
+    a, b = words(rng, 80), words(rng, 80)
+    docs = table(spark, [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (3, "?!", "en", "s"), (4, "?!", "en", "s"), (5, "", "en", "s"), (6, "", "en", "s"), (7, b + " more", "en", "s")])
+    left = sorted((r.doc_id, r.text) for r in near_dedup.stage(spark, docs, SF).collect())
+    assert left == [(1, a), (2, b), (3, "?!"), (5, "")]
+    assert {(r.doc_id, r.keep_id) for r in near_dedup.near_duplicates(docs).collect()} == {(2, 1), (4, 3), (6, 5), (7, 2)}
+
+
+def test_fingerprint_against_plain_loops():
+    """Each bit is set where more than half of the distinct words have it; short words count, at every number of words."""
+    for text in ("a b c", "a bb ccc dddd eeeee", "one", " ".join(f"word{i}" for i in range(700))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        s, e, ptr = T.words(data, np.array([0, len(data)]), T.WORD)
+        features, long, fptr = near_dedup.distinct_words(T.span_hash(data, s, e), e - s, ptr)
+        assert len(features) == len(set(text.split())) and long.sum() == sum(len(w) >= 4 for w in set(text.split()))
+        bits = np.unpackbits(np.stack([features, T.mix64(features, 7)], 1).view(np.uint8), axis=1)
+        want = np.packbits([2 * sum(int(row[k]) for row in bits) > len(bits) for k in range(128)]).view(np.uint64)
+        assert near_dedup.simhash(features, fptr)[0].tolist() == want.tolist()
+
+
+def test_routes_are_audited(spark):
+    """Copies that a routing by one poor key parts are found by the audit, which asks for more routes."""
+    rng = random.Random(13)
+    base = [words(rng, 60).split() for _ in range(60)]
+    many = [(2 * i + k, " ".join(w if k == 0 else [f"n{i}", *w[:40], f"m{i}", *w[42:]]), "en", "s") for i, w in enumerate(base) for k in (0, 1)]
+    got = near_dedup.near_duplicates(table(spark, many), routes=1, shard_rows=4).collect()
+    assert len(got) >= 0.9 * len(base) and all(r.keep_id == r.doc_id - 1 for r in got)
+
+
 def test_copies_of_a_hot_group(spark):
     """A shard far over its size is split, and its copies are found across the parts."""
     rng = random.Random(8)
@@ -314,11 +342,24 @@ def test_reordered_text_hides_no_copy(spark):
 
 
 def test_scan_again_leaves_no_pair(spark):
-    """Rows with a full beam meet all points of their part but those of their component."""
-    spread = spark.createDataFrame([(0, 0, i, i % 2, 0, True) for i in range(6)], "shard long, part int, doc_id long, f0 long, f1 long, own boolean")
-    full = spark.createDataFrame([(0, 0, 1)], "shard long, part int, doc_id long")
-    label = spark.createDataFrame([(2, 1), (5, 4)], "doc_id long, root long")
-    assert rows(near_dedup.scan_again(spread, full, label)) == [(0, 1), (1, 3), (1, 4), (1, 5)]
+    """Points that ask meet all points of their part but those of their component."""
+    spread = spark.createDataFrame([(0, 0, i, i % 2, 0, True) for i in range(6)], "shard long, part int, node long, f0 long, f1 long, own boolean")
+    asks = spark.createDataFrame([(0, 0, 1)], "shard long, part int, node long")
+    label = spark.createDataFrame([(2, 1), (5, 4)], "node long, root long")
+    assert rows(near_dedup.scan_again(spread, asks, label)) == [(0, 1), (1, 3), (1, 4), (1, 5)]
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
+    root = list(range(90))
+    for _ in range(90):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(((i, r) for i, r in enumerate(root) if i != r), key=repr)
+    assert rows(common.components(df)) == want == rows(common.components(df, small=0))
+    assert common.components(df.limit(0)).count() == 0
 
 
 # 9
