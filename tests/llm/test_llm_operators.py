@@ -161,6 +161,47 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(flat, ends).tolist() == [x[2] for x in suffixes]
 
 
+def test_common_prefixes():
+    rng = random.Random(2)
+    for _ in range(40):
+        segs = [[rng.randrange(2) for _ in range(rng.randrange(1, 60))] for _ in range(rng.randrange(1, 5))]
+        flat, ends = np.array(sum(segs, []), np.uint32), np.cumsum([len(s) for s in segs])
+        left = np.concatenate([np.arange(len(s), 0, -1) for s in segs])
+        sa = suffix_dedup.suffix_array(flat, ends)
+        plain = [next((n for n in range(min(left[x], left[y])) if flat[x + n] != flat[y + n]), min(left[x], left[y])) for x, y in zip(sa, sa[1:])]
+        assert suffix_dedup.common_prefixes(flat, left, sa, vector=3).tolist() == plain
+
+
+def test_periodic_text_is_sorted_in_little_memory():
+    import tracemalloc
+
+    codes = np.tile(np.array([7, 3], np.uint32), 30_000)
+    tracemalloc.start()
+    sa = suffix_dedup.suffix_array(codes, np.array([60_000]))
+    lcp = suffix_dedup.common_prefixes(codes, np.arange(60_000, 0, -1), sa)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert sa[:3].tolist() == [59_999, 59_997, 59_995] and lcp[:2].tolist() == [1, 3] and lcp.max() == 59_998
+
+
+def test_hot_minimizer_is_divided(spark):
+    """A phrase in all documents, each time among other words, makes one group; divided, it gives the same spans."""
+    rng = random.Random(21)
+    phrase = words(rng, 6)
+    texts = {i: " ".join([words(rng, 8), phrase, words(rng, 8)]) for i in range(40)}
+    texts |= {40 + i: words(rng, 3) + " " + texts[i] for i in range(0, 40, 4)}
+    docs = table(spark, [(i, t, "en", "s") for i, t in texts.items()])
+    got = suffix_dedup.repeated_spans(docs, length=10, gram=3, hot_runs=8)
+    assert sorted(map(tuple, got.collect())) == brute_spans(texts, 10)
+
+
+def test_texts_that_share_an_id_keep_their_words(spark):
+    rng = random.Random(22)
+    a, b = words(rng, 70), words(rng, 70)
+    docs = table(spark, [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (2, a + " tail", "en", "s"), (2, a + " tail", "en", "s")])
+    assert rows(suffix_dedup.stage(spark, docs, SF).select("doc_id", "text")) == sorted([(1, a), (2, b), (2, "tail"), (2, "tail")], key=repr)
+
+
 def test_spans(spark, odd, none):
     rng = random.Random(9)
     shared = [words(rng, n) for n in (12, 30, 60)]
