@@ -6,8 +6,11 @@ partial partition per group, and repeatedly combines the two with the largest sp
 least entry), until one is left.
 
 Groups are hashed to buckets. Each bucket is differenced by one task; what the buckets leave are again
-partial partitions, which the driver differences, k numbers for each bucket. So no task holds more
-than one bucket's groups and the driver holds none.
+partial partitions, of which one task differences FAN_IN at a time, level by level, until one is left. So no
+task holds more than one bucket's groups or FAN_IN partial partitions, and the driver holds none.
+
+As many shards as the bytes ask for may be too many for one partial partition: then groups are divided among
+LANES first, and those of each lane again.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut, table
 
-SHARDS, BUCKET_GROUPS = 64, 8192
+LANES, BUCKET_GROUPS, FAN_IN = 64, 8192, 512
+#: Bytes of a shard at most, on average, where no number of shards is given; there are LANES shards at least.
+SHARD_BYTES = 256_000_000
 
 
 def difference(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -104,36 +109,59 @@ def partition(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, shard
 
 
-def shard_groups(groups: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
-    """(grp, bytes, shard) of (grp, bytes): one shard for each group, of near-equal bytes in sum. Null bytes count as 0."""
-    spark = groups.sparkSession
-    groups = cut(groups.select("grp", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes")))
-    buckets = max(1, -(-groups.count() // bucket_groups))
+def _level(groups: DataFrame, k: int, bucket_groups: int, fan_in: int) -> DataFrame:
+    """(grp, bytes, shard) of such rows, the groups of each shard divided among k: shard s gives s * k to s * k + k - 1."""
     kind = groups.schema["grp"].dataType.simpleString()
+    need = groups.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / bucket_groups).cast("long").alias("buckets"))
+    groups = groups.join(need, "shard").withColumn("bucket", F.pmod(F.xxhash64("grp", "shard"), F.col("buckets")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def lanes_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "grp"], ascending=[False, True], kind="stable", ignore_index=True)
-        _, lane = partition(pdf["bytes"].to_numpy(), shards)
-        return pdf.assign(lane=lane.astype(np.int32))[["grp", "bytes", "bucket", "lane"]]
-
-    lanes = cut(groups.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(run, f"grp {kind}, bytes long, bucket int, lane int"))
-    sums = lanes.groupBy("bucket", "lane").agg(F.sum("bytes").alias("bytes")).toPandas()
-    numbers = sorted(sums["bucket"].unique().tolist())
-    of = {b: i for i, b in enumerate(numbers)}
-    parts = np.zeros((len(numbers), shards), np.int64)
-    parts[sums["bucket"].map(of).to_numpy(int) if len(sums) else [], sums["lane"].to_numpy(int)] = sums["bytes"].to_numpy(np.int64)
-    _, where = difference(list(parts))
-    sent = spark.sparkContext.broadcast((of, np.array(where, np.int32).reshape(len(numbers), shards)))
-
-    @F.pandas_udf("int")
-    def shard_of(bucket: pd.Series, lane: pd.Series) -> pd.Series:
-        of, where = sent.value
-        return pd.Series(where[bucket.map(of).to_numpy(int), lane.to_numpy(int)] if len(bucket) else [], dtype="int32")
-
-    return lanes.select("grp", "bytes", shard_of("bucket", "lane").alias("shard"))
+        _, lane = partition(pdf["bytes"].to_numpy(), k)
+        return pdf.assign(lane=lane.astype(np.int32))[["grp", "bytes", "shard", "bucket", "lane"]]
+
+    lanes = cut(groups.select("grp", "bytes", "shard", "bucket").groupBy("shard", "bucket").applyInPandas(lanes_of, f"grp {kind}, bytes long, shard long, bucket long, lane int"))
+    by_lane = F.map_from_entries(F.collect_list(F.struct("lane", "bytes")))
+    sums = lanes.groupBy("shard", "bucket", "lane").agg(F.sum("bytes").alias("bytes")).groupBy("shard", "bucket").agg(by_lane.alias("m"))
+    sums = sums.select("shard", "bucket", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("sums"))
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket", kind="stable", ignore_index=True)
+        total, where = difference([np.array(x, np.int64) for x in pdf["sums"]])
+        return pd.DataFrame({"shard": pdf["shard"], "bucket": pdf["bucket"], "up": pdf["bucket"] // fan_in, "turn": [w.tolist() for w in where], "sums": [total.tolist()] + [None] * (len(pdf) - 1)})
+
+    most, moved = int(need.agg(F.max("buckets")).first()[0] or 1), None
+    while most > 1:  # moved: (shard, bucket, at, turn) of the first buckets; at: the bucket they are part of by now; turn: where each lane went
+        step = cut(sums.groupBy("shard", F.floor(F.col("bucket") / fan_in).alias("up")).applyInPandas(join_up, "shard long, bucket long, up long, turn array<int>, sums array<long>"))
+        if moved is None:
+            moved = step.select("shard", "bucket", F.col("up").alias("at"), "turn")
+        else:
+            later = step.select("shard", F.col("bucket").alias("at"), "up", F.col("turn").alias("then"))
+            moved = moved.join(later, ["shard", "at"]).select("shard", "bucket", F.col("up").alias("at"), F.transform("turn", lambda x: F.get("then", x)).alias("turn"))
+        sums, most = step.where("sums is not null").select("shard", F.col("up").alias("bucket"), "sums"), -(-most // fan_in)
+    if moved is not None:
+        lanes = lanes.join(moved.select("shard", "bucket", "turn"), ["shard", "bucket"]).withColumn("lane", F.get("turn", F.col("lane")))
+    return lanes.select("grp", "bytes", (F.col("shard") * k + F.col("lane")).alias("shard"))
+
+
+def shard_groups(groups: DataFrame, shards: int | None = None, bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN, lanes: int = LANES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(grp, bytes, shard) of (grp, bytes): one shard for each group, of near-equal bytes in sum.
+
+    Rows that repeat a group are one, of their bytes in sum; null is a group like others. Null bytes count as 0.
+    Groups of equal size go in the order of grp. shards: the number given, in one level; else `lanes`, or its
+    least power of which none holds more than shard_bytes on average, in as many levels.
+    """
+    groups = cut(groups.groupBy("grp").agg(F.sum(F.coalesce("bytes", F.lit(0))).cast("long").alias("bytes")).withColumn("shard", F.lit(0).cast("long")))
+    ways = [shards] if shards is not None else [lanes]
+    whole = groups.agg(F.sum("bytes")).first()[0] or 0
+    while shards is None and whole > shard_bytes * lanes ** len(ways):
+        ways.append(lanes)
+    for k in ways:
+        groups = _level(groups, k, bucket_groups, fan_in)
+    return groups.select("grp", "bytes", F.col("shard").cast("int").alias("shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int | None = None, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
     """(doc_id, bytes, shard) of every row: exact copies of a text stay together, and the shards' bytes are balanced.
 
     bytes: of the text in UTF-8, 0 for null. All null texts are one group, all empty ones another. Rows
@@ -141,7 +169,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_groups: int =
     stay null. Other columns aren't read. An empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("grp"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    placed = shard_groups(rows.groupBy("grp").agg(F.sum("bytes").alias("bytes")), shards, bucket_groups)
+    placed = shard_groups(rows.select("grp", "bytes"), shards, bucket_groups)
     return rows.join(placed.select("grp", "shard"), "grp").select("doc_id", "bytes", "shard")
 
 

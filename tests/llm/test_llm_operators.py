@@ -1,9 +1,11 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
 import itertools
+import math
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,7 +73,10 @@ def test_mix(spark, odd, none):
     assert rows(got.select("doc_id")) != rows(mixing.mix(docs, keep=0.5, block_rows=4, shards=5, seed=1).select("doc_id"))
     assert mixing.mix(odd, keep=1.0).count() == 10
     assert mixing.mix(none).count() == 0
-    assert mixing.stage(spark, odd, SF).columns == odd.columns
+    user = odd.drop("shard", "position").withColumn("Shard", F.lit(99)).withColumn("POSITION", F.col("doc_id") * 7)
+    kept = mixing.stage(spark, user, SF)
+    assert kept.columns == user.columns and rows(kept) == rows(user)  # all columns keep their values
+    assert mixing.mix(user).columns == [c for c in user.columns if c.lower() not in ("shard", "position")] + ["shard", "position"]
     with pytest.raises(ValueError):
         mixing.mix(docs, {"big": -1})
 
@@ -86,6 +91,39 @@ def test_mix_drops_only_what_the_weights_need(spark):
     assert mixing.reachable([10, 0, 5], [1, 1, 0]) == 10 and mixing.reachable([], []) == 0
 
 
+def test_permutation():
+    for n in (1, 2, 3, 5, 64, 1000, 70_001):
+        got = mixing.permuted(np.arange(n), n, 9)
+        assert sorted(got.tolist()) == list(range(n))
+    assert mixing.permuted(np.arange(50), 50, 1).tolist() != mixing.permuted(np.arange(50), 50, 2).tolist()
+
+
+def test_mix_against_plain_loops(spark):
+    """Blocks, quotas, tree and permutation by plain lists over the same hashes."""
+    docs = table(spark, [(i, f"t{i}", "en", None if i % 11 == 0 else "big" if i % 4 else "small") for i in range(500)])
+    hashed = docs.select("doc_id", "source", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).collect()
+    for options in ({"weights": {"big": 1, "small": 3, None: 1}}, {"temper": 0.5}, {"keep": 0.6}):
+        by = {}
+        for r in sorted(hashed, key=lambda r: r.h):
+            by.setdefault("0" if r.source is None else "1" + r.source, []).append(r.doc_id)
+        names = sorted(by)
+        blocks = [-(-len(by[n]) // 4) for n in names]
+        weight = [{"1big": 1, "1small": 3, "0": 1}[n] if "weights" in options else len(by[n]) ** 0.5 if "temper" in options else 1 for n in names]
+        total = int(0.6 * sum(blocks)) if "keep" in options else int(min(b / w for b, w in zip(blocks, weight)) * sum(weight) + 1e-9)
+        parts = mixing.split(mixing.quotas(blocks, weight, total), 6, 42)
+        want = {}
+        for i, n in enumerate(names):
+            to = mixing.permuted(np.arange(blocks[i]), blocks[i], 43 + i)
+            for b in range(blocks[i]):
+                shard = next((k for k in range(6) if to[b] < sum(parts[: k + 1, i])), None)
+                if shard is not None:
+                    want |= {d: shard for d in by[n][4 * b : 4 * b + 4]}
+        got = mixing.mix(docs, block_rows=4, shards=6, bucket_rows=50, **options).collect()
+        assert {r.doc_id: r.shard for r in got} == want and len(got) == len(want)
+        for k in range(6):
+            assert sorted(r.position for r in got if r.shard == k) == list(range(sum(v == k for v in want.values())))
+
+
 # 2
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(7, None, None), (7, None, None), (None, "u", "<b>")], "page_id long, url string, html string")
@@ -240,28 +278,44 @@ def test_toxicity(spark, odd, none):
 
 
 # 6
-def test_quality_against_brute_force(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    by = quality.ratios(docs, labels)
-    assert np.array_equal(by, quality.ratios(docs, labels, sent_ids=0))  # the shuffled way gives the same counts
-    good = {r.doc_id for r in labels.where("quality = 1").collect()}
-    raw, target = np.zeros(1 << 16), np.zeros(1 << 16)
-    each = {}
-    for r in docs.collect():
-        data = np.frombuffer((r.text or "").encode(), np.uint8)
-        each[r.doc_id] = b = quality.grams(data, np.array([0, len(data)]))[1]
-        np.add.at(raw, b, 1)
-        if r.doc_id in good:
-            np.add.at(target, b, 1)
-    p, q = target + 0.5, raw + 0.5
-    want = np.log(p / p.sum()) - np.log(q / q.sum())
-    assert np.allclose(by, want)
-    got = {r.doc_id: r for r in quality.score(docs, by).collect()}
-    for i, b in each.items():
-        assert (got[i].score is None) == (len(b) == 0) and (not len(b) or abs(got[i].score - want[b].mean()) < 1e-5)
-    assert quality.score(odd, by).count() == 10 and quality.score(odd, by).where("score is null and not keep").count() == 4
-    assert quality.score(none, by).count() == 0 and not quality.ratios(none, labels).any()
+def test_quality_against_plain_counts(spark, odd, none):
+    """Scores from Counters of the n-grams themselves, which differ from hashed ones by rare collisions only."""
+    rng = random.Random(17)
+    texts = {i: words(rng, rng.randrange(1, 40), 300 if i % 3 else 900) for i in range(90)}
+    docs = table(spark, [(i, t, "en", "s") for i, t in texts.items()])
+    good = {i for i in texts if i % 3}
+    trusted = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    by = quality.ratios(docs, trusted)
+    assert np.array_equal(by, quality.ratios(docs, trusted, sent_ids=0))  # the shuffled way gives the same counts
+    grams = {i: [(n, *w[k : k + n]) for n in (1, 2) for w in [t.split()] for k in range(len(w) - n + 1)] for i, t in texts.items()}
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i in good for g in grams[i])
+    whole, sum_, t = sum(raw.values()) + 0.5 * 2**quality.BITS, 0, sum(target.values())
+    ratio = {g: math.log((target[g] / t + (n + 0.5) / whole) / 2) - math.log((n + 0.5) / whole) for g, n in raw.items()}
+    got = {r.doc_id: r for r in quality.score(docs, by, 0.0).collect()}
+    for i, x in grams.items():
+        want = sum(ratio[g] for g in x) / len(x)
+        sum_ += abs(got[i].score - want) < 1e-4
+        assert got[i].n_grams == len(x) and got[i].keep == (got[i].score >= 0)
+    assert sum_ >= 75  # some 2,500 n-grams in 2 ** 20 buckets: about three pairs of them collide
+    tie = got[0].score
+    assert quality.score(docs.where("doc_id = 0"), by, tie).first().keep  # an equal score is kept
+    assert quality.score(odd, by, None).count() == 10 and quality.score(odd, by, None).where("score is null and not keep").count() == 4
+    assert quality.score(none, by, 0.0).count() == 0 and not quality.ratios(none, trusted).any()
+    alike = table(spark, [(1, "the quick brown foxes jumped", "en", "s"), (2, "zxq vvvvv kkkkk qqqqq xxxxxx", "en", "s")])
+    taught = quality.ratios(alike, spark.createDataFrame([(1,)], "doc_id long"))
+    assert [r.score > 0 for r in quality.score(alike, taught, None).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_quality_threshold(spark):
+    assert quality.threshold_of([(0, 0, 5), (10, 1, 1), (20, 9, 0)]) == pytest.approx((11 + 20) / 2 * quality.STEP)  # cut above 10: 9/10 and 1, against 1 and 5/6
+    assert quality.threshold_of([(0, 3, 0)]) is None and quality.threshold_of([]) is None
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    trusted, held = quality.judged(labels)
+    assert not {r[0] for r in trusted.collect()} & {r[0] for r in held.collect()} and held.count() > 50
+    by = quality.ratios(docs, trusted)
+    least = quality.threshold(docs, held, by)
+    right = quality.score(docs, by, least).join(held, "doc_id").groupBy("good").agg(F.avg((F.col("keep") == F.col("good")).cast("int"))).collect()
+    assert all(r[1] >= 0.9 for r in right) and len(right) == 2
 
 
 # 7
@@ -277,9 +331,16 @@ def test_shards(spark, odd, none):
         short, lane = sharding.partition(few, k)
         assert np.array_equal(np.bincount(lane, few, k).astype(int), short) and short.max() - short.min() == plain.max() - plain.min()
     groups = spark.createDataFrame([(str(i), int(s)) for i, s in enumerate(sizes)], "grp string, bytes long")
-    out = sharding.shard_groups(groups, 8, bucket_groups=64)
+    out = sharding.shard_groups(groups, 8, bucket_groups=64, fan_in=3)  # 11 buckets: three levels
     by = [r[1] for r in out.groupBy("shard").agg(F.sum("bytes")).collect()]
     assert out.count() == 700 and len(by) == 8 and max(by) - min(by) <= 0.01 * sum(by) / 8
+    deep = sharding.shard_groups(groups, lanes=4, shard_bytes=int(sizes.sum()) // 10)  # 16 shards in two levels
+    by = [r[1] for r in deep.groupBy("shard").agg(F.sum("bytes")).collect()]
+    assert deep.count() == 700 and len(by) == 16 and max(by) - min(by) <= 0.02 * sum(by) / 16
+    twice = spark.createDataFrame([("a", 3), ("a", 4), (None, None), (None, 5)], "grp string, bytes long")
+    assert rows(sharding.shard_groups(twice, 2).select("grp", "bytes")) == [("a", 7), (None, 5)]
+    even = spark.createDataFrame([(c, 5) for c in "dbca"], "grp string, bytes long")  # equal sizes go by grp
+    assert rows(sharding.shard_groups(even, 4)) == rows(sharding.shard_groups(even.orderBy("grp"), 4))
     got = sharding.shard_documents(odd, 3)
     assert got.count() == 10 and got.where("doc_id in (1, 2)").select("shard").distinct().count() == 1
     assert got.where("bytes > 0 or shard is not null").count() == 10
