@@ -24,15 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chatloom.llm import text as T
 from chatloom.llm.common import table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 16, 8
-#: The labelled sample that the network is fitted on: so many documents, and windows of each.
-TRAIN_DOCS, TRAIN_WINDOWS = 1500, 6
-MIN_PROBABILITY = 0.3
+#: The labelled sample that the network is fitted on: so many documents, with all of their windows.
+TRAIN_DOCS = 1000
 #: Added to the count of each pair of classes; an alphabet's least share of a language's letters; how far the
 #: limit is from random letters' mean towards the language's.
 SMOOTH, LEAST_SHARE, LIMIT = 0.1, 5e-4, 0.4
@@ -106,53 +105,61 @@ class Network:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 5, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> Network:
-    """Adam on the cross-entropy, classes weighted to count alike."""
+def loss(p: list[np.ndarray], c: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(weighted mean cross-entropy, its gradients) of a batch of windows; p: embedding, filters, biases, output weights and bias."""
+    nw, n_rows = len(WIDTHS), len(c)
+    e = p[0][c]
+    g = [np.zeros_like(q) for q in p]
+    cols, tops, args = [], [], []
+    for j, w in enumerate(WIDTHS):
+        n = WINDOW - w + 1
+        col = np.concatenate([e[:, q : q + n] for q in range(w)], 2)
+        r = col @ p[1 + j].reshape(w * EMBED, FILTERS) + p[1 + nw + j]
+        arg = r.argmax(1)
+        cols.append(col)
+        args.append(arg)
+        tops.append(np.take_along_axis(r, arg[:, None], 1)[:, 0])
+    pre = np.concatenate(tops, 1)
+    h = np.maximum(pre, 0)
+    z = h @ p[-2] + p[-1]
+    z = np.exp(z - z.max(1, keepdims=True))
+    d = z / z.sum(1, keepdims=True)
+    value = float(-(weight * np.log(d[np.arange(n_rows), target])).sum() / n_rows)
+    d[np.arange(n_rows), target] -= 1
+    d *= weight[:, None] / n_rows
+    g[-2], g[-1] = h.T @ d, d.sum(0)
+    dh = (d @ p[-2].T) * (pre > 0)
+    de = np.zeros_like(e)
+    for j, w in enumerate(WIDTHS):
+        part = dh[:, j * FILTERS : (j + 1) * FILTERS]
+        at = args[j]
+        seen = np.take_along_axis(cols[j], at[:, :, None], 1)  # [batch, filters, w * embed]
+        g[1 + j] = np.einsum("bf,bfc->cf", part, seen).reshape(w, EMBED, FILTERS)
+        g[1 + nw + j] = part.sum(0)
+        back = part[:, :, None] * p[1 + j].reshape(w * EMBED, FILTERS).T[None]
+        for q in range(w):
+            np.add.at(de, (np.arange(n_rows)[:, None], at + q), back[:, :, q * EMBED : (q + 1) * EMBED])
+    np.add.at(g[0], c, de)
+    g[0][_PAD] = 0
+    return value, g
+
+
+def fit(x: np.ndarray, y: np.ndarray, labels: list[str], share: np.ndarray | None = None, epochs: int = 3, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> Network:
+    """Adam on loss(), classes weighted to count alike; share: what each window counts for within its class."""
     rng = np.random.Generator(np.random.Philox(seed))
     k = len(labels)
     shapes = [(128, EMBED), *((w, EMBED, FILTERS) for w in WIDTHS), *((FILTERS,) for _ in WIDTHS), (FILTERS * len(WIDTHS), k), (k,)]
     p = [rng.normal(0, 0.5 / np.sqrt(np.prod(s[:-1]) if i and len(s) > 1 else 1), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for i, s in enumerate(shapes)]
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     p[0][_PAD] = 0
-    weight = (len(y) / (k * np.maximum(np.bincount(y, minlength=k), 1))).astype(np.float32)
+    share = np.ones(len(y)) if share is None else share
+    weight = (share * len(y) / (k * np.maximum(np.bincount(y, share, k), 1e-9))[y]).astype(np.float32)
     nw, t = len(WIDTHS), 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for a in range(0, len(x), batch):
             i = order[a : a + batch]
-            c, target = x[i].astype(np.intp), y[i]
-            e = p[0][c]
-            g = [np.zeros_like(q) for q in p]
-            cols, tops, args = [], [], []
-            for j, w in enumerate(WIDTHS):
-                n = WINDOW - w + 1
-                col = np.concatenate([e[:, q : q + n] for q in range(w)], 2)
-                r = col @ p[1 + j].reshape(w * EMBED, FILTERS) + p[1 + nw + j]
-                arg = r.argmax(1)
-                cols.append(col)
-                args.append(arg)
-                tops.append(np.take_along_axis(r, arg[:, None], 1)[:, 0])
-            pre = np.concatenate(tops, 1)
-            h = np.maximum(pre, 0)
-            z = h @ p[-2] + p[-1]
-            z = np.exp(z - z.max(1, keepdims=True))
-            d = z / z.sum(1, keepdims=True)
-            d[np.arange(len(i)), target] -= 1
-            d *= weight[target][:, None] / len(i)
-            g[-2], g[-1] = h.T @ d, d.sum(0)
-            dh = (d @ p[-2].T) * (pre > 0)
-            de = np.zeros_like(e)
-            for j, w in enumerate(WIDTHS):
-                part = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                at = args[j]
-                seen = np.take_along_axis(cols[j], at[:, :, None], 1)  # [batch, filters, w * embed]
-                g[1 + j] = np.einsum("bf,bfc->cf", part, seen).reshape(w, EMBED, FILTERS)
-                g[1 + nw + j] = part.sum(0)
-                back = part[:, :, None] * p[1 + j].reshape(w * EMBED, FILTERS).T[None]
-                for q in range(w):
-                    np.add.at(de, (np.arange(len(i))[:, None], at + q), back[:, :, q * EMBED : (q + 1) * EMBED])
-            np.add.at(g[0], c, de)
-            g[0][_PAD] = 0
+            _, g = loss(p, x[i].astype(np.intp), y[i], weight[i])
             t += 1
             for q in range(len(p)):
                 m[q] += 0.1 * (g[q] - m[q])
@@ -185,29 +192,26 @@ def pair_scores(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> Network | None:
-    """A network fitted on the labelled documents that are first by a hash of doc_id, `train_docs` of them at most, each by `train_windows` windows spread evenly. None if none is labelled."""
-    named = docs.where("doc_id is not null and lang is not null and lang <> '' and text <> ''")
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
+    """A network fitted on all windows of the labelled documents that are first by a hash of doc_id, `train_docs` of them at most; a document's windows together count as one. None if none is labelled."""
+    named = docs.where("doc_id is not null and trim(lang) <> '' and text <> ''")
     ids = [r[0] for r in named.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _, ptr = windows(*T.buffers(batch["text"]))
             n = np.diff(ptr)
-            rows = [ptr[i] + np.unique(np.linspace(0, n[i] - 1, min(n[i], train_windows)).astype(np.int64)) for i in range(len(n))]
-            of = np.repeat(np.arange(len(n)), [len(r) for r in rows])
-            if len(of):
-                x = x[np.concatenate(rows)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(of)), batch["lang"].take(pa.array(of)), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["lang"].take(of), pa.array(1 / n[of]), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "share", "x"])
 
     if not ids:
         return None
-    rows = named.select("doc_id", "lang", "text").where(F.col("doc_id").isin(ids)).mapInArrow(pick, "doc_id long, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
+    rows = named.select("doc_id", "lang", "text").where(F.col("doc_id").isin(ids)).mapInArrow(tiled, "doc_id long, lang string, share double, x binary").collect()
+    rows.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
     labels = sorted({r[1] for r in rows})
-    x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8).reshape(-1, WINDOW)
+    x = np.frombuffer(b"".join(bytes(r[3]) for r in rows), np.uint8).reshape(-1, WINDOW)
     y = np.array([labels.index(r[1]) for r in rows])
-    network = fit(x, y, labels)
+    network = fit(x, y, labels, np.array([r[2] for r in rows]))
     network.pairs = pair_scores(x, y, len(labels))
     return network
 
@@ -247,11 +251,11 @@ class Judge:
         return np.add.reduceat(score, offs[:-1], dtype=np.float64) + flat[base + c[offs[1:] - 1] * 128 + 27] > 0
 
 
-def identify(docs: DataFrame, network: Network | None, min_probability: float = MIN_PROBABILITY) -> DataFrame:
+def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, predicted, probability, keep) of every row.
 
-    predicted: the most probable language (of equal ones the first by name); keep: whether its mean
-    probability is min_probability or more, and the text's pairs of bytes are that language's (Judge.known),
+    predicted: the most probable language (of equal ones the first by name); probability: its mean over the text;
+    keep: whether the text's pairs of bytes are that language's (Judge.known),
     which texts without a letter, random letters and foreign scripts aren't. Null and empty texts, and all
     texts where no label was there to train on, are 'und' with probability 0, and not kept. Rows that repeat are judged each;
     null ids stay null. Other columns aren't read.
@@ -262,7 +266,7 @@ def identify(docs: DataFrame, network: Network | None, min_probability: float =
         judge = Judge(sent.value)
         for batch in batches:
             best, top, known = judge(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], judge.names.take(pa.array(best)), pa.array(top), pa.array(known & (best < len(judge.names) - 1) & (top >= min_probability))], ["doc_id", "predicted", "probability", "keep"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], judge.names.take(pa.array(best)), pa.array(top), pa.array(known & (best < len(judge.names) - 1))], ["doc_id", "predicted", "probability", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, predicted string, probability double, keep boolean")
 
@@ -273,7 +277,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that identify() keeps, in one pass: the text of a row is judged beside the row."""
+    """The documents that identify() keeps, in one pass: the text of a row is judged beside the row. A null or blank `lang` becomes the language found; others stay."""
     names = docs.columns
     network = train(docs)
     numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))
@@ -282,7 +286,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in batches:
-            _, top, known = judge(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["row"].filter(pa.array(known & (top >= MIN_PROBABILITY)))], ["row"])
+            best, _, known = judge(batch["text"])
+            good = pa.array(known & (best < len(judge.names) - 1))
+            yield pa.RecordBatch.from_arrays([batch["row"].filter(good), judge.names.take(pa.array(best)).filter(good)], ["row", "predicted"])
 
-    return numbered.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    kept = numbered.mapInArrow(run, StructType([StructField("row", docs.schema), StructField("predicted", StringType())]))
+    lang = F.coalesce(F.when(F.trim(F.col("row").getField("lang")) != "", F.col("row").getField("lang")), F.col("predicted"))
+    return kept.select(*((lang if c == "lang" else F.col("row").getField(c)).alias(c) for c in names))
