@@ -9,18 +9,22 @@ are looked at.
 
 from __future__ import annotations
 
-import gzip
-import io
+import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut, table
 
 FAN_BITS, FILE_RECORDS = 6, 4096
+#: Bytes read at once, of a header at most, and held as rows at once.
+PIECE, MOST_HEADER, HELD_BYTES = 1 << 16, 1 << 20, 8_000_000
+MAGIC = b"\x1f\x8b\x08"
 
 
 def record(url: Column, body: Column) -> Column:
@@ -33,46 +37,198 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n"))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, kind, uri, digest, digest_ok, body) of the records of .warc and .warc.gz files.
+class Fault(Exception):
+    """Something that can't be read; what follows it may be."""
+
+
+def opened(path: str):
+    """A file of any file system that pyarrow knows, as a stream of bytes."""
+    if path.startswith("file:"):
+        return open(unquote(urlparse(path).path), "rb")
+    system, name = FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
+
+def _gzip_header(raw: bytes) -> int | None:
+    """The length of a gzip member's header; None if it isn't whole."""
+    at = 10
+    if len(raw) < 10:
+        return None
+    if raw[3] & 4:
+        if len(raw) < 12:
+            return None
+        at += 2 + int.from_bytes(raw[10:12], "little")
+    for flag in (8, 16):
+        if raw[3] & flag:
+            end = raw.find(b"\0", at)
+            if end < 0:
+                return None
+            at = end + 1
+    at += 2 * bool(raw[3] & 2)
+    return at if len(raw) >= at else None
+
+
+def plain(stream) -> Iterator[bytes | Fault]:
+    """The bytes of a stream, of gzip members one by one where it begins with one. After a Fault it goes on at the next member."""
+    raw = stream.read(PIECE)
+    if raw[:2] != MAGIC[:2]:
+        while raw:
+            yield raw
+            raw = stream.read(PIECE)
+        return
+    while True:
+        while (head := _gzip_header(raw)) is None and (more := stream.read(PIECE)):
+            raw += more
+        if head is None:
+            if raw:
+                yield Fault("gzip member cut short")
+            return
+        d, crc, size, wrong = zlib.decompressobj(-15), 0, 0, None
+        raw = raw[head:]
+        while not d.eof:
+            try:
+                out = d.decompress(raw, PIECE)
+            except zlib.error as e:
+                wrong = f"damaged gzip member: {e}"
+                break
+            crc, size = zlib.crc32(out, crc), size + len(out)
+            if out:
+                yield out
+            raw = d.unconsumed_tail
+            if not d.eof and not raw and not (raw := stream.read(PIECE)):
+                wrong = "gzip member cut short"
+                break
+        if wrong is None:
+            raw = d.unused_data
+            while len(raw) < 8 and (more := stream.read(PIECE)):
+                raw += more
+            if raw[:8] != crc.to_bytes(4, "little") + (size & 0xFFFFFFFF).to_bytes(4, "little"):
+                wrong = "gzip member with another checksum"
+            raw = raw[8:]
+        if wrong is not None:
+            yield Fault(wrong)
+        while (at := raw.find(MAGIC)) < 0 and (more := stream.read(PIECE)):
+            raw = raw[-2:] + more
+        if at < 0:
+            return
+        raw = raw[at:]
+
+
+def records(stream) -> Iterator[tuple]:
+    """(offset, length, kind, uri, digest, digest_ok, sha256, body, fault) of a stream's records and faults, in their order."""
+    held, base, ended = b"", 0, False
+    source = plain(stream)
+
+    def row(size: int, fields: dict[str, str], body: bytes | None, fault: str | None) -> tuple:
+        digest = fields.get("warc-block-digest")
+        ok = hashlib.sha256(body).hexdigest() == digest[7:].lower() if body is not None and digest and digest.lower().startswith("sha256:") else None
+        return base, size, fields.get("warc-type"), fields.get("warc-target-uri"), digest, ok, hashlib.sha256(held[:size]).hexdigest(), body, fault
+
+    while True:
+        broken = None
+        need = 1
+        while True:  # until the record at the front is whole
+            lead = len(held) - len(held.lstrip(b"\r\n"))
+            held, base = held[lead:], base + lead
+            end = held.find(b"\r\n\r\n")
+            fields: dict[str, str] = {}
+            size = None
+            if held and not b"WARC/".startswith(held[:5]):
+                need = 0
+            elif end >= 0:
+                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in held[:end].decode("utf-8", "replace").split("\r\n")[1:])}
+                value = fields.get("content-length", "")
+                size = int(value) if value.isascii() and value.isdigit() else None
+                need = 0 if size is None else end + 4 + size
+            elif len(held) > MOST_HEADER:
+                need = 0
+            else:
+                need = len(held) + 1
+            if len(held) >= need or ended or broken:
+                break
+            try:
+                item = next(source)
+            except StopIteration:
+                ended = True
+                continue
+            if isinstance(item, Fault):
+                broken = str(item)
+            else:
+                held += item
+        if not held:
+            if broken is not None:
+                yield row(0, {}, None, broken)
+            elif ended:
+                return
+            continue
+        if size is not None and len(held) >= need:
+            yield row(need, fields, held[end + 4 : need], None)
+            held, base = held[need:], base + need
+        else:  # on to what looks like the next record
+            fault = "no record" if not b"WARC/".startswith(held[:5]) else "record cut short" if size is not None else "no valid Content-Length" if end >= 0 else "header without an end"
+            at = held.find(b"\r\nWARC/", 1)
+            while at < 0 and not ended and not broken and need == 0:
+                try:
+                    item = next(source)
+                except StopIteration:
+                    ended = True
+                    break
+                if isinstance(item, Fault):
+                    broken = str(item)
+                else:
+                    held += item
+                    at = held.find(b"\r\nWARC/", 1)
+            at = len(held) if at < 0 else at + 2
+            body = held[end + 4 : at] if size is not None else None
+            yield row(at, fields, body, fault)
+            held, base = held[at:], base + at
+        if broken is not None:
+            yield row(0, {}, None, broken)
+
 
-    digest_ok is null where a record has no sha256 block digest. A record cut short ends its file.
-    offset and length are those of the plain bytes.
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, kind, uri, digest, digest_ok, sha256, body, fault) of the records of .warc and .warc.gz files.
+
+    Files are read as streams, a record at a time, and members of a .gz file one by one. offset and length are
+    those of the plain bytes; sha256 is the whole record's. digest_ok is null where a record has no sha256 block
+    digest. fault is null for a whole record. Bytes that aren't a record, a record without a valid
+    Content-Length or cut short, and a gzip member that is damaged, cut short or has another checksum give a row
+    of their own with the fault, and reading goes on at the next record or member. An empty file has no rows. Bodies may be
+    empty or long; records that repeat are rows each.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
+        names = ["offset", "length", "kind", "uri", "digest", "digest_ok", "sha256", "body", "fault"]
         for pdf in parts:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                raw = _plain(content)
-                rows, at = [], 0
-                while raw.startswith(b"WARC/", at):
-                    end = raw.find(b"\r\n\r\n", at)
-                    if end < 0:
-                        break
-                    fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
-                    size = int(fields.get("content-length", 0))
-                    body = raw[end + 4 : end + 4 + size]
-                    if len(body) < size:
-                        break
-                    digest = fields.get("warc-block-digest")
-                    ok = hashlib.sha256(body).hexdigest() == digest[7:] if digest and digest.startswith("sha256:") else None
-                    rows.append((name, at, end + 8 + size - at, fields.get("warc-type"), fields.get("warc-target-uri"), digest, ok, body))
-                    at = end + 8 + size
-                yield pd.DataFrame(rows, columns=["file", "offset", "length", "kind", "uri", "digest", "digest_ok", "body"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, offset long, length long, kind string, uri string, digest string, digest_ok boolean, body binary")
-
-
-def _plain(content: bytes) -> bytes:
-    if content[:2] != b"\x1f\x8b":
-        return bytes(content)
-    try:
-        return gzip.GzipFile(fileobj=io.BytesIO(content)).read()
-    except (EOFError, zlib.error):
-        return zlib.decompressobj(47).decompress(content)
+            for name in pdf["path"]:
+                with opened(name) as stream:
+                    rows, held = [], 0
+                    for r in records(stream):
+                        rows.append(r)
+                        held += 500 + len(r[7] or b"")
+                        if held > HELD_BYTES:
+                            yield pd.DataFrame(rows, columns=names).assign(file=name)
+                            rows, held = [], 0
+                    if rows:
+                        yield pd.DataFrame(rows, columns=names).assign(file=name)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInPandas(run, "file string, offset long, length long, kind string, uri string, digest string, digest_ok boolean, sha256 string, body binary, fault string")
+
+
+def archive_audit(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, slot) of the records that differ between two archives as read_warc() gives them, or that only one has; name: the file's, without folders; slot: the record's number in it. Faults differ from whole records."""
+
+    def named(df: DataFrame) -> DataFrame:
+        rows = df.select(F.element_at(F.split("file", "/"), -1).alias("name"), "offset", "length", F.sha2(F.concat_ws(":", "sha256", "fault"), 256).alias("digest"))
+        return rows.withColumn("slot", F.row_number().over(Window.partitionBy("name").orderBy("offset", "length", "digest")).cast("long") - 1)
+
+    both = [cut(named(df)) for df in (left, right)]
+    # as many rows as there are files
+    names = both[0].select("name").union(both[1].select("name")).distinct()
+    number = cut(names.select("name", (F.row_number().over(Window.orderBy("name")).cast("long") - 1).alias("file")))
+    bad = audit(*(cut(df.join(number, "name").select("file", "slot", "digest")) for df in both))
+    return bad.join(number, "file").select("name", "slot")
 
 
 def place(pages: DataFrame, body: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
@@ -145,8 +301,8 @@ def damaged(pages: DataFrame) -> DataFrame:
 def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """(page_id, file, slot, offset, length, digest, intact) of every record of pages; intact: whether the replica has the same bytes in its place.
 
-    A null url or html counts as empty. Rows that repeat have a slot each. Columns other than page_id,
-    url and html aren't read.
+    A null url or html counts as empty. Rows that repeat have a slot each. Pages of any length are hashed whole. Columns other than page_id,
+    url and html aren't read. Two empty tables give no rows.
     """
     mine, other = cut(place(pages)), cut(place(replica))
     bad = audit(mine, other).withColumn("bad", F.lit(True))
