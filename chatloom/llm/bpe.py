@@ -3,7 +3,7 @@
 1. A text of up to `chunk` characters is one chunk. A longer one is cut into chunks that overlap by
    `overlap` characters, and its chunks go to tasks of their own.
 2. Each chunk is pre-tokenised on its own. The first pieces of a chunk may be wrong, as it begins
-   anywhere, and so may its last piece.
+   anywhere, and so may those that end within LOOK characters of its end: what follows may be part of them.
 3. Neighbours are stitched at the first boundary that both have in their overlap: pre-tokenising looks
    at nothing before a piece's start, so from a common boundary on both agree. A document with an
    overlap in which no boundary meets (such as one word of thousands of letters) is encoded whole.
@@ -29,6 +29,8 @@ from chatloom.llm.common import cut, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK, OVERLAP = 32_768, 1024
+#: The characters beyond a piece's end that the pattern may have looked at, and some more.
+LOOK = 8
 #: Texts of a batch that are held as tokens at once, in bytes.
 HELD_BYTES = 1_000_000
 _TOKENS = "doc_id long, n_tokens long, tokens array<int>, n_bytes long, exact boolean"
@@ -109,8 +111,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap:
     A null text has nulls in all but doc_id, an empty one no tokens. Null ids stay null. Rows that repeat
     come out as often. Strings that look like special tokens are ordinary text. Other columns aren't read.
     """
-    if not 0 < overlap <= chunk:
-        raise ValueError("overlap must be between 1 and chunk")
+    if not LOOK < overlap <= chunk:
+        raise ValueError(f"overlap must be between {LOOK + 1} and chunk")
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     docs = docs.select("doc_id", "text")
     is_long = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
@@ -118,7 +120,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap:
     long = cut(docs.where(is_long).groupBy("doc_id", F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     parts = cut(_chunks(long.select("doc_id", "digest", "text"), chunk, overlap))
     same = Window.partitionBy("doc_id", "digest").orderBy("k")
-    tail = F.transform(F.filter("piece_ends", lambda e: (e >= chunk) & (e < chunk + overlap)), lambda e: (e - chunk).cast("int"))
+    tail = F.transform(F.filter("piece_ends", lambda e: (e >= chunk) & (e < chunk + overlap - LOOK)), lambda e: (e - chunk).cast("int"))
     edges = parts.select("doc_id", "digest", "k", F.filter("piece_ends", lambda e: (e > 0) & (e < overlap)).alias("head"), tail.alias("tail"), F.array_max("piece_ends").alias("size"))
     # where this chunk takes over from the one before, in places of the chunk; the one before hands over there
     meets = F.array_min(F.array_intersect("head", F.lag("tail").over(same)))
@@ -166,13 +168,18 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap:
 
 
 def decode(coded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of rows with doc_id and tokens: the tokens' bytes one after another, as UTF-8. Null tokens give a null text."""
+    """(doc_id, text) of rows with doc_id and tokens: the tokens' bytes one after another, as UTF-8, with U+FFFD for what isn't. Null tokens give a null text, none an empty one; a token that the vocabulary lacks is an error that names it. Rows that repeat come out as often; other columns aren't read."""
     ranks = coded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value)
         for batch in batches:
-            texts = [None if t is None else enc.decode_bytes(t).decode("utf-8", "replace") for t in batch["tokens"].to_pylist()]
+            texts = []
+            for t in batch["tokens"].to_pylist():
+                bad = [x for x in t or () if x is None or not 0 <= x < enc.n_vocab]
+                if bad:
+                    raise ValueError(f"no such token: {bad[0]}")
+                texts.append(None if t is None else enc.decode_bytes(t).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return coded.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
