@@ -28,7 +28,7 @@ def test_pipeline(spark):
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r[0] for r in now.select("doc_id").collect()}
-        now = common.stored(stage(spark, now, SF), name)
+        now, _ = common.stored(stage(spark, now, SF), name)
         assert now.columns == docs.columns
         assert {r[0] for r in now.select("doc_id").collect()} <= before
         assert now.count() == now.select("doc_id").distinct().count()
@@ -43,3 +43,27 @@ def test_pipeline(spark):
     assert set(last) <= set(texts)
     whole = {r.doc_id: r.tokens for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == last
+
+
+def test_pipeline_on_an_odd_table(spark, tmp_path):
+    """Nulls, empties, repeats, ids that texts share and names that clash, through all stages."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars between 700 and 3000").orderBy("doc_id").limit(12).collect()
+    a, b, c, d = (base[i].text for i in range(4))
+    more = [(100 + i, r.text, r.lang, "s") for i, r in enumerate(base[4:])]
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, None, None), (2, b, None, None), (3, None, "en", "s"), (None, None, None, None), (None, c, "en", "s"), (4, "", "en", "s"), (5, d, " ", ""), (6, "zzqx wkqj xxqz qqzw", "en", "s"), *more]
+    docs = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for n, name in enumerate(("row", "Shard", "position", "key", "same", "node", "keep", "predicted", "digest", "named")):
+        docs = docs.withColumn(name, F.lit(n) + F.coalesce("doc_id", F.lit(0)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, _ = common.stored(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+        assert all(r.position == 2 + (r.doc_id or 0) and r.Shard == 1 + (r.doc_id or 0) for r in now.collect())
+    left = sorted(((r.doc_id or 0, r.text, r.lang) for r in now.collect()))
+    assert left == sorted([(0, c, "en"), (1, a, "en"), (2, b, "en"), (2, b, "en"), (5, d, "en"), *((i, t, lang) for i, t, lang, _ in more)])
+    enc = bpe.encoding(bpe.vocabulary())
+    got = sorted((r.doc_id or 0, r.tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == sorted((i, enc.encode_ordinary(t)) for i, t, _ in left)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
