@@ -182,7 +182,8 @@ def pair_scores(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
         c = PAIRED[x[y == label]]
         n = np.bincount((c[:, :-1].astype(np.intp) * 128 + c[:, 1:]).ravel(), minlength=128 * 128).reshape(128, 128).astype(np.float64)
         n[_PAD] = n[:, _PAD] = 0
-        score = np.log((n + SMOOTH) / (n.sum(1, keepdims=True) + SMOOTH * 128)).ravel()
+        # a class that is hardly or never seen makes no pair probable
+        score = np.log((n + SMOOTH) / (np.maximum(n.sum(1, keepdims=True), n.sum() / 128) + SMOOTH * 128)).ravel()
         letters = n.sum(0) * LETTER
         alphabet = np.append(np.flatnonzero(letters > LEAST_SHARE * letters.sum()), 27)
         random = (alphabet[:, None] * 128 + alphabet[None]).ravel()
