@@ -43,6 +43,13 @@ def multi_to_single(messages: Column, joiner: str = "\n") -> Column:
 EMITTERS: dict[str, Callable[[Column], Column]] = {"messages": emit_messages, "alpaca": emit_alpaca}
 
 
+def register_emitter(name: str, make: Callable[[Column], Column]) -> None:
+    """A further output format, under a name that none has yet."""
+    if name in EMITTERS:
+        raise ValueError(f"there is an output format {name!r} already")
+    EMITTERS[name] = make
+
+
 def emitter(name: str) -> Callable[[Column], Column]:
     if name not in EMITTERS:
         raise ValueError(f"unknown output format {name!r}; there are {', '.join(sorted(EMITTERS))}")

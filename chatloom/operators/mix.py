@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a source that are ordered each by a task of its own.
+BUCKETS = 1024
+
+
 @dataclass(frozen=True)
 class SourceStats:
     source: str
@@ -29,7 +33,7 @@ def allocate(weights: list[float], total: int) -> list[int]:
     whole = sum(weights)
     if whole <= 0 or min(weights) < 0:
         raise ValueError("weights must not be negative, nor all 0")
-    out = [round(total * w / whole) for w in weights]
+    out = [round(total * (w / whole)) for w in weights]
     top = max(range(len(out)), key=lambda i: (out[i], -i))
     out[top] += total - sum(out)
     if out[top] < 0:
@@ -41,10 +45,18 @@ def rank_hash(seed: int, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in key)))
 
 
-def ranked(rows: DataFrame, source: str, key: str, seed: int) -> DataFrame:
-    """rows with `pick`, each row's place from 1 in the seeded order of its source."""
-    order = Window.partitionBy(source).orderBy(rank_hash(seed, F.col(source), F.col(key)), F.col(key))
-    return rows.withColumn("pick", F.row_number().over(order))
+def ranked(rows: DataFrame, source: str, key: str, seed: int, buckets: int = BUCKETS) -> DataFrame:
+    """rows with `pick`, each row's place from 1 in the seeded order of its source.
+
+    A source is ordered bucket by bucket of the hash, so it is never in one task.
+    """
+    h = rank_hash(seed, F.col(source), F.col(key))
+    some = rows.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * buckets / 65536).withColumn("_b", F.floor("_b"))
+    sizes = some.groupBy(source, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(source).orderBy("_b")) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy(source, "_b").orderBy("_h", F.col(key))
+    # one row for each source and bucket
+    return some.join(before, [source, "_b"]).withColumn("pick", F.col("_before") + F.row_number().over(inside)).select(*rows.columns, "pick")
 
 
 def mix(rows: DataFrame, weights: Mapping[str, float], source: str, key: str, total: int | None = None, seed: int = 42, oversample: bool = False) -> tuple[DataFrame, list[SourceStats]]:

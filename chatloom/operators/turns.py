@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.exprs import is_object, string_at
+from chatloom.functions.exprs import at, barrier, fields, items, string_at
 from chatloom.operators.convert import parsed
 
 
-def count_turns(v: Column) -> Column:
+def count_turns(m: Column) -> Column:
     """Answers of a record with `messages`; 0 where it has none."""
-    items = F.try_variant_get(v, "$.messages", "array<variant>")
-    return F.coalesce(F.size(F.filter(items, lambda m: F.coalesce(string_at(m, "role") == "assistant", F.lit(False)))), F.lit(0))
+    answers = F.filter(F.transform(items(at(m, "messages")), fields), lambda x: F.coalesce(string_at(x, "role") == "assistant", F.lit(False)))
+    return F.coalesce(F.size(answers), F.lit(0))
 
 
 def with_turns(lines: DataFrame) -> DataFrame:
-    """(raw, n_turns) of the JSON objects among lines; invalid JSON is an error."""
-    return parsed(lines, strict=True).where(is_object(F.col("v"))).select("raw", count_turns(F.col("v")).alias("n_turns"))
+    """(raw, n_turns) of the JSON objects among lines, and line_key where lines have one; invalid JSON is an error."""
+    key = [c for c in lines.columns if c == "line_key"]
+    rows = parsed(lines, strict=True).select(*key, "raw", fields(F.col("v")).alias("m"), barrier()).where("m is not null and _at >= 0")
+    return rows.select(*key, "raw", count_turns(F.col("m")).alias("n_turns"))
 
 
 def distribution(rows: DataFrame) -> DataFrame:
-    """(n_turns, n) of rows with n_turns."""
-    return rows.groupBy("n_turns").agg(F.count(F.lit(1)).alias("n"))
+    """(n_turns, n) of rows with n_turns, ascending."""
+    return rows.groupBy("n_turns").agg(F.count(F.lit(1)).alias("n")).orderBy("n_turns")
 
 
 def report(rows: DataFrame) -> DataFrame:

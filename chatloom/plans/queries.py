@@ -11,12 +11,13 @@ from chatloom.functions import exprs
 from chatloom.operators import adapters, emitters, profile, turns
 from chatloom.operators import mix as mixing
 from chatloom.operators.convert import convert
-from chatloom.operators.dedup import dedupe_lines, keep_first
-from chatloom.sources.jsonl import json_rows
+from chatloom.operators.dedup import dedupe_lines
+from chatloom.sources.files import split_documents
+from chatloom.sources.jsonl import json_rows, strict_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS = {"en": 4.0, "fr": 3.0, "de": 2.0, "es": 1.0}
-TOTAL, SEED = 500, 42
+SEED = 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,12 @@ def _lines(df: DataFrame, *fields: Column) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").cast("int").alias("n_turns"))
+    """(raw, n_turns) of the conversations as JSON lines."""
+    return turns.with_turns(_lines(dialogues(spark, sf_dir), F.col("conv_id"), F.col("messages")))
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select(F.get_json_object("raw", "$.conv_id").cast("long").alias("conv_id"), "n_turns")
 
 
 def turn_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,16 +49,15 @@ def turn_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(dialogues(spark, sf_dir), F.col("messages"))
-    return turns.report(turns.with_turns(lines))
+    return turns.report(_answers(spark, sf_dir))
 
 
 def turn_split_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.split(_answers(spark, sf_dir))[0]
+    return _ids(turns.split(_answers(spark, sf_dir))[0])
 
 
 def turn_split_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.split(_answers(spark, sf_dir))[1]
+    return _ids(turns.split(_answers(spark, sf_dir))[1])
 
 
 def sharegpt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +84,14 @@ def single_to_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("m")[0]["content"].alias("user_text"), F.col("m")[1]["content"].alias("assistant_text"))
 
 
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(dialogues(spark, sf_dir), F.col("messages"))
+    return lines.select(F.explode(F.array(F.col("value"), F.lit("  "), F.concat("value", F.lit(",")), F.lit("[1]"))).alias("value"))
+
+
 def convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as JSON lines, with blank and corrupt lines between them, through the router."""
-    lines = _lines(dialogues(spark, sf_dir), F.col("messages"))
-    noisy = lines.select(F.explode(F.array(F.col("value"), F.lit("  "), F.concat("value", F.lit(",")), F.lit("[1]"))).alias("value"))
-    out = convert(noisy, "auto", "alpaca")
+    out = convert(_noisy(spark, sf_dir), "auto", "alpaca")
     return out.groupBy("instruction", "output", "meta_source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,19 +108,28 @@ def alpaca_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_route_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     side = lambda c: F.array(F.struct(F.lit("Human").alias("role"), F.col("source").alias("content")), F.struct(F.lit("gpt").alias("role"), c.alias("content")))
     winner = F.when(F.col("toxic") == 1, "tie").when(F.col("quality") == 1, "model_a").otherwise(" B ")
     out = convert(_lines(rows, side(F.col("text")).alias("conversation_a"), side(F.col("lang")).alias("conversation_b"), winner.alias("winner")), "chat", "alpaca")
     return out.select("instruction", F.md5("output").alias("digest"), F.col("meta_branch").alias("branch"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.to_json(F.struct("text", "lang")).alias("value"))
+
+
 def dedupe_exact_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id")
+    return dedupe_lines(_texts(spark, sf_dir), order="doc_id").select("doc_id")
 
 
 def dedupe_exact_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id", "sha256").select("doc_id")
+    return dedupe_lines(_texts(spark, sf_dir), algorithm="sha256", order="doc_id").select("doc_id")
+
+
+def dedupe_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_lines(_texts(spark, sf_dir), identity="native", order="doc_id").select("doc_id")
 
 
 def dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,27 +150,80 @@ def uniform_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.uniform_schema(table(spark, sf_dir, "events").select(F.col("props").alias("value")))
 
 
-def _mix(spark: SparkSession, sf_dir: str, total: int, oversample: bool) -> tuple[DataFrame, list[mixing.SourceStats]]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return mixing.mix(docs, WEIGHTS, "lang", "doc_id", total, SEED, oversample)
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.SourceStats]]:
+    """A fourth of the documents, by the weights of WEIGHTS."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return mixing.mix(docs, WEIGHTS, "lang", "doc_id", docs.count() // 4, SEED)
 
 
 def mix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir, TOTAL, False)[0].select("doc_id", "lang")
+    return _mix(spark, sf_dir)[0].select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+def mix_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in its seeded order; place is what it is ordered by."""
+    place = mixing.shuffle_key(SEED, "lang", "doc_id").alias("place")
+    return _mix(spark, sf_dir)[0].select("doc_id", place).orderBy("place")
 
 
 def mix_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "lang")
-    return mixing.mix(docs, {"es": 1.0}, "lang", "doc_id", 50_000, SEED, True)[0].select("doc_id", "copy")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return mixing.mix(docs, WEIGHTS, "lang", "doc_id", 50_000, SEED, True)[0].select("doc_id", "lang", "copy")
 
 
 def mix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _mix(spark, sf_dir, TOTAL, False)[1]
+    stats = _mix(spark, sf_dir)[1]
     return spark.createDataFrame([(s.source, s.weight, s.requested, s.available, s.written) for s in stats], "source string, weight double, requested long, available long, written long")
 
 
+def mix_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """150 and 1,001 rows divided by the numbers of documents of each language."""
+    sizes = [tuple(r) for r in table(spark, sf_dir, "documents").groupBy("lang").count().orderBy("lang").collect()]
+    rows = [(total, lang, n) for total in (150, 1001) for (lang, _), n in zip(sizes, mixing.allocate([n for _, n in sizes], total))]
+    return spark.createDataFrame(rows, "total long, lang string, n long")
+
+
 def parquet_to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+    return json_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"))
+
+
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, each a list of documents or documents one after another, as values."""
+    docs = table(spark, sf_dir, "documents")
+    group = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 64).cast("string")).alias("path")
+    texts = docs.select(group, "doc_id", F.to_json(F.struct("doc_id", "text")).alias("x")).groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    one = F.concat(F.lit("\ufeff ["), F.array_join("all", ",\n"), F.lit("]"))
+    values = split_documents(texts.select("path", F.when(F.crc32("path") % 2 == 0, one).otherwise(F.array_join("all", " ")).alias("value")))
+    return values.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.md5(F.get_json_object("value", "$.text")).alias("digest"))
+
+
+def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a byte order mark, blank ones between them, and white space at both ends."""
+    docs = table(spark, sf_dir, "documents")
+    value = F.explode(F.array(F.concat(F.lit(" \ufeff"), F.to_json(F.struct("doc_id", "lang")), F.lit("\t\u00a0")), F.lit(" \u3000")))
+    lines = docs.select(value.alias("value"), F.lit("documents").alias("path"), F.struct(F.lit("documents").alias("path"), F.lit(0).alias("block"), F.col("doc_id").alias("n")).alias("line_key"))
+    return strict_lines(lines).select("raw")
+
+
+def convert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read, and examples written, of noisy lines."""
+    lines = _noisy(spark, sf_dir)
+    n = F.count(F.lit(1)).alias("n")
+    return lines.agg(n).select(F.lit("read").alias("what"), "n").union(convert(lines, "auto", "messages").agg(n).select(F.lit("written"), "n"))
+
+
+def chat_route_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several answers and questions in a record: the first key in order that isn't blank counts."""
+    docs = table(spark, sf_dir, "documents")
+    odd = F.col("doc_id") % 2 == 1
+    fields = [F.when(odd, " ").otherwise("I").alias("instruction"), F.col("source").alias("question"), F.col("text").alias("response"), F.col("lang").alias("answer"), F.when(odd, F.col("lang")).alias("context")]
+    out = convert(_lines(docs, *fields), "chat", "alpaca")
+    return out.select("instruction", F.md5("output").alias("digest"), "meta_source")
+
+
+def limit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the first 1,000 events."""
+    return profile.key_frequency(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("value")), max_rows=1000, order="event_id")
 
 
 def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,15 +236,29 @@ def redact_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sort = F.pmod("page_id", F.lit(4))
-    url = F.when(sort == 0, F.concat("url", F.lit(".JSONL"))).when(sort == 1, F.concat(F.lit("https://github.com/a/"), F.col("page_id").cast("string"))).when(sort == 2, "https://raw.githubusercontent.com/a/b").otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", exprs.classify_url(url).alias("kind"))
+    sort = F.pmod("page_id", F.lit(5))
+    repo = F.concat(F.lit("https://github.com/a/"), F.col("page_id").cast("string"))
+    url = F.when(sort == 0, F.concat("url", F.lit(".JSONL"))).when(sort.isin(1, 4), repo).when(sort == 2, "https://raw.githubusercontent.com/a/b")
+    kind = exprs.classify_url(url, F.when(sort == 3, "org/name"), F.when(sort == 4, "clone"))
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
+
+
+def raw_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat("url", F.element_at(F.array(*map(F.lit, (".json", ".JSON.GZ", ".jsonl", ".txt"))), F.pmod("page_id", F.lit(4)).cast("int") + 1))
+    return table(spark, sf_dir, "pages").select("page_id", exprs.raw_suffix(url).alias("suffix"))
+
+
+def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" https://www.github.com/o"), name, F.lit("/r.git/tree/main"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("http://github.com/o"), name, F.lit("/r"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", exprs.repo_of(url).alias("r")).select("page_id", "r.owner", "r.repo")
 
 
 def queries() -> dict[str, Query]:
     made = [
         turn_distribution, turn_report, turn_split_single, turn_split_multi, sharegpt_pairs, emit_messages, emit_alpaca, multi_to_single, single_to_multi, convert_roundtrip, chat_route_text, alpaca_adapter,
         chat_route_pairwise, dedupe_exact_md5, dedupe_exact_sha256, dedupe_keys, key_frequency_top, key_frequency_recursive, uniform_schema, mix_sample, mix_oversample, mix_stats, parquet_to_jsonl, sanitize_names, redact_urls, classify_urls,
+        dedupe_native, mix_shuffled, mix_allocate, normalize_documents, normalize_lines, convert_counts, chat_route_keys, limit_profile, raw_suffixes, repo_urls,
     ]
     return {q.__name__: q for q in made}
 
@@ -186,7 +270,12 @@ _LAST = "last(text ORDER BY turn) FILTER (role = 'assistant')"
 # a plain pair of user and assistant is taken verbatim
 _ALPACA = f"""SELECT conv_id, CASE WHEN count(*) = 2 AND first(role ORDER BY turn) = 'user' AND last(role ORDER BY turn) = 'assistant' THEN {_USERS} ELSE trim({_USERS}, {_BLANK}) END AS instruction,
   '' AS input, coalesce({_LAST}, '') AS output FROM conversations GROUP BY conv_id"""
-_QUOTA = "(VALUES ('en', 4.0, 200), ('fr', 3.0, 150), ('de', 2.0, 100), ('es', 1.0, 50)) q(lang, weight, quota)"
+_QUOTA = """(SELECT lang, weight, r + CASE WHEN lang = 'en' THEN total - sum(r) OVER () ELSE 0 END AS quota FROM (
+    SELECT lang, weight, total, CAST(round_even(total * (weight / 10.0), 0) AS BIGINT) AS r FROM (VALUES ('en', 4.0), ('fr', 3.0), ('de', 2.0), ('es', 1.0)) v(lang, weight), (SELECT count(*) // 4 AS total FROM documents))) q"""
+_PICKED = f"""(SELECT doc_id, lang, pick, text FROM (
+    SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS pick FROM documents
+  ) JOIN {_QUOTA} USING (lang) WHERE pick <= quota)"""
+_PROPS = "SELECT unnest(json_keys(props)) AS k FROM"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -206,25 +295,34 @@ def oracle_sql() -> dict[str, str]:
         "convert_roundtrip": f"SELECT instruction, output, 'chat' AS meta_source, count(*) AS n FROM ({_ALPACA}) GROUP BY ALL",
         "chat_route_text": f"""SELECT 'assistant' AS role, md5(trim(text, {_BLANK})) AS digest, 'chat:text' AS meta_source FROM documents WHERE trim(text, {_BLANK}) <> ''""",
         "alpaca_adapter": f"""SELECT source || chr(10) || lang AS instruction, '' AS input, md5(trim(text, {_BLANK})) AS digest FROM documents""",
-        "chat_route_pairwise": """SELECT source AS instruction, md5(CASE WHEN quality = 1 THEN text ELSE lang END) AS digest, CASE WHEN quality = 1 THEN 'a' ELSE 'b' END AS branch FROM documents JOIN labels USING (doc_id) WHERE toxic = 0""",
-        "dedupe_exact_md5": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)",
-        "dedupe_exact_sha256": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)",
+        "chat_route_pairwise": """SELECT source AS instruction, md5(CASE WHEN quality = 1 THEN text ELSE lang END) AS digest, CASE WHEN quality = 1 THEN 'a' ELSE 'b' END AS branch FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0""",
+        "dedupe_exact_md5": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text), lang",
+        "dedupe_exact_sha256": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text), lang",
         "dedupe_keys": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, source",
         "key_frequency_top": "SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k",
         "key_frequency_recursive": "SELECT 'messages' AS key, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'role', count(*) FROM conversations UNION ALL SELECT 'content', count(*) FROM conversations",
         "uniform_schema": "SELECT count(DISTINCT list_sort(json_keys(props))) = 1 AS uniform FROM events",
-        "mix_sample": f"""SELECT doc_id, lang FROM (
-            SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS pick FROM documents
-          ) JOIN {_QUOTA} USING (lang) WHERE pick <= quota""",
-        "mix_oversample": f"""SELECT doc_id, copy FROM (
-            SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:es:' || doc_id), doc_id) AS pick FROM documents WHERE lang = 'es'
-          ) JOIN (
-            SELECT i AS copy, CAST(('0x' || substr(md5('{SEED}:' || i), 1, 8)) AS BIGINT) % (SELECT count(*) FROM documents WHERE lang = 'es') + 1 AS pick FROM range(50000) r(i)
-          ) USING (pick)""",
-        "mix_stats": f"SELECT lang AS source, CAST(weight / 10.0 AS DOUBLE) AS weight, CAST(quota AS BIGINT) AS requested, count(doc_id) AS available, least(quota, count(doc_id)) AS written FROM {_QUOTA} LEFT JOIN documents USING (lang) GROUP BY lang, weight, quota",
-        "parquet_to_jsonl": "SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS value FROM documents",
+        "mix_sample": f"SELECT doc_id, lang, md5(text) AS digest FROM {_PICKED}",
+        "mix_oversample": f"""WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS pick, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+          q AS (SELECT * FROM (VALUES ('en', 20000), ('fr', 15000), ('de', 10000), ('es', 5000)) v(lang, quota)), s AS (SELECT lang, quota, any_value(n) AS n FROM d JOIN q USING (lang) GROUP BY ALL)
+          SELECT doc_id, lang, 0 AS copy FROM d JOIN q USING (lang) WHERE quota <= n AND pick <= quota
+          UNION ALL SELECT doc_id, lang, copy FROM d JOIN (
+            SELECT lang, i AS copy, CAST(('0x' || substr(md5('{SEED}:' || i), 1, 8)) AS BIGINT) % n + 1 AS pick FROM s, range(20000) r(i) WHERE quota > n AND i < quota
+          ) USING (lang, pick)""",
+        "mix_stats": f"SELECT lang AS source, CAST(weight / 10.0 AS DOUBLE) AS weight, CAST(quota AS BIGINT) AS requested, count(doc_id) AS available, CAST(least(quota, count(doc_id)) AS BIGINT) AS written FROM {_QUOTA} LEFT JOIN documents USING (lang) GROUP BY lang, weight, quota",
+        "parquet_to_jsonl": "SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars, 'text': text}) AS VARCHAR) AS value FROM documents",
         "sanitize_names": r"""SELECT page_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '_') AS s FROM pages)""",
         "redact_urls": "SELECT page_id, url FROM pages",
-        "classify_urls": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'url_raw' WHEN 1 THEN 'url_github_tree' WHEN 2 THEN 'url_raw'
-          ELSE CASE WHEN regexp_matches(lower(url), '(\\.json|\\.jsonl|\\.json\\.gz)$') OR contains(lower(url), 'raw.githubusercontent.com') THEN 'url_raw' WHEN contains(lower(url), 'github.com') THEN 'url_github_tree' END END AS kind FROM pages""",
+        "classify_urls": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'url_raw' WHEN 1 THEN 'url_github_tree' WHEN 2 THEN 'url_raw' WHEN 3 THEN 'hf' ELSE 'url_github_clone' END AS kind FROM pages",
+        "dedupe_native": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text, lang",
+        "mix_shuffled": f"SELECT doc_id, md5('{SEED}:' || lang || ':' || doc_id || ':' || pick || ':0') AS place FROM {_PICKED}",
+        "mix_allocate": """SELECT total, lang, CAST(r + CASE WHEN row_number() OVER (PARTITION BY total ORDER BY r DESC, lang) = 1 THEN total - sum(r) OVER (PARTITION BY total) ELSE 0 END AS BIGINT) AS n FROM (
+            SELECT CAST(total AS BIGINT) AS total, lang, CAST(round_even(total * (n / sum(n) OVER (PARTITION BY total)), 0) AS BIGINT) AS r FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), (VALUES (150), (1001)) v(total))""",
+        "normalize_documents": "SELECT doc_id, md5(text) AS digest FROM documents",
+        "normalize_lines": "SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang}) AS VARCHAR) AS raw FROM documents",
+        "convert_counts": "SELECT 'read' AS what, 4 * count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'written', count(DISTINCT conv_id) FROM conversations",
+        "chat_route_keys": f"""SELECT CASE WHEN doc_id % 2 = 1 THEN source || chr(10) || lang ELSE 'I' END AS instruction, md5(trim(text, {_BLANK})) AS digest, 'alpaca' AS meta_source FROM documents""",
+        "limit_profile": f"SELECT k AS key, count(*) AS n FROM ({_PROPS} (SELECT props FROM events ORDER BY event_id LIMIT 1000)) GROUP BY k",
+        "raw_suffixes": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.json.gz' ELSE '.jsonl' END AS suffix FROM pages",
+        "repo_urls": "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'o' || page_id END AS owner, CASE WHEN page_id % 3 < 2 THEN 'r' END AS repo FROM pages",
     }

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.exprs import is_json, strip
@@ -14,12 +12,28 @@ from chatloom.functions.exprs import is_json, strip
 PEEK = 65_536
 
 
-def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8") -> DataFrame:
     """(value, path, line_key) of all physical lines, blank ones too; line_key ascends in the order of files and lines."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    name = encoding.lower().replace("_", "-")
+    if name in ("utf-8", "utf8"):
+        lines = spark.read.text(paths)
+    else:  # a file of another encoding is one split
+        whole = spark.read.format("binaryFile").load(paths).select(F.decode("content", name).alias("text"), F.col("path").alias("file"), F.lit(0).alias("block"))
+        lines = whole.select("file", "block", F.posexplode(F.split(F.regexp_replace("text", "(\r\n|\n|\r)$", ""), "\r\n|\n|\r"))).select(F.col("col").alias("value"), F.col("file").alias("path"), F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("n"))
+        return lines.select("value", "path", F.struct("path", "block", "n").alias("line_key"))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     return lines.select("value", "path", F.struct("path", "block", "n").alias("line_key"))
 
 
+def line_number(spark: SparkSession, path: str, line_key: Row) -> int:
+    """The number from 1 of a line of a file."""
+    return scan(spark, path).where(F.col("line_key") < as_key(line_key)).count() + 1
+
+
+def as_key(line_key: Row) -> Column:
+    return F.struct(F.lit(line_key["path"]).alias("path"), F.lit(line_key["block"]).cast("long").alias("block"), F.lit(line_key["n"]).cast("long").alias("n"))
+
+
 def detect_shape(data: bytes) -> str:
     """jsonl, single_line, json_array, invalid or empty, by the first 64 KiB of a file."""
     text = data[:PEEK].decode("utf-8", "replace")
@@ -37,7 +51,7 @@ def detect_shape(data: bytes) -> str:
 
 def split_values(text: str) -> list[str]:
     """The JSON values that follow one another in a text; a list's items each."""
-    text, at, out = text.lstrip("﻿").strip(), 0, []
+    text, at, out = text.strip().lstrip("\ufeff").strip(), 0, []
     while at < len(text):
         value, at = json.JSONDecoder().raw_decode(text, at)
         while at < len(text) and text[at].isspace():
@@ -46,40 +60,12 @@ def split_values(text: str) -> list[str]:
     return [json.dumps(x, ensure_ascii=False) for x in out]
 
 
-def normalize(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, pos, value): files of any shape as JSON values, one a row, in their order.
-
-    A file of JSON lines keeps its lines' text. Else the whole file is read as one document, a list or
-    values after one another, on several lines too. A file that is neither is an error that names it.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, text in zip(part["path"], part["value"]):
-                lines = [x.strip().lstrip("﻿") for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
-                lines = [(n, x) for n, x in enumerate(lines, 1) if x]
-                try:
-                    for _, x in lines:
-                        json.loads(x)
-                    whole = len(lines) == 1 and lines[0][1][:1] == "["
-                    out = split_values(text) if whole else [x for _, x in lines]
-                except ValueError as e:
-                    try:
-                        out = split_values(text)
-                    except ValueError:
-                        comma = next((n for n, x in lines if x.endswith(",")), None)
-                        raise ValueError(f"cannot normalize {path}: " + (f"trailing comma at line {comma}" if comma else str(e))) from None
-                yield pd.DataFrame({"path": path, "pos": range(len(out)), "value": out}).astype({"pos": "int64"})
-
-    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInPandas(run, "path string, pos long, value string")
-
-
 def strict_lines(lines: DataFrame) -> DataFrame:
-    """Stripped lines that aren't blank; one that ends in a comma or isn't JSON is an error."""
+    """Stripped lines that aren't blank, without a byte order mark in front; one that ends in a comma or isn't JSON is an error that names the file and the line's place."""
     raw = F.col("raw")
-    checked = F.when(raw.endswith(","), F.raise_error(F.concat(F.lit("trailing comma: "), raw))).when(~is_json(raw), F.raise_error(F.concat(F.lit("invalid JSON: "), raw))).otherwise(raw)
-    return lines.withColumn("raw", strip(F.col("value"))).where("raw <> ''").withColumn("raw", checked)
+    place = F.concat(F.col("path"), F.lit(", block at byte "), F.col("line_key.block").cast("string"), F.lit(", line "), (F.col("line_key.n") % (1 << 33) + 1).cast("string"), F.lit(": "), F.substring("raw", 1, 80))
+    checked = F.when(raw.endswith(","), F.raise_error(F.concat(F.lit("Cannot normalize: trailing comma: "), place))).when(~is_json(raw), F.raise_error(F.concat(F.lit("Cannot normalize: invalid JSON: "), place))).otherwise(raw)
+    return lines.withColumn("raw", strip(F.ltrim(strip(F.col("value")), F.lit("\ufeff")))).where("raw <> ''").withColumn("raw", checked)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

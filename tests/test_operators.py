@@ -4,15 +4,18 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from chatloom.functions import exprs
 from chatloom.functions.exprs import is_json, strip
-from chatloom.operators import mix
-from chatloom.operators.adapters import ChatOptions, adapter
+from chatloom.operators import adapters, mix
+from chatloom.operators.adapters import ChatOptions, adapter, register_adapter
 from chatloom.operators.convert import convert
 from chatloom.operators.dedup import dedupe_lines
-from chatloom.operators.emitters import emitter
+from chatloom.operators.emitters import emitter, register_emitter
 from chatloom.operators.profile import key_frequency, uniform_schema
 from chatloom.operators.turns import report, with_turns
-from chatloom.sources import jsonl
+from chatloom.sources import files, jsonl
 from chatloom.streaming.convert import convert_stream
 
 
@@ -26,7 +29,7 @@ def said(spark, name, *values, options=None):
 
 
 def test_strip_and_json(spark):
-    cases = ["{}", "1", " [1] ", "null", '{"a":1},', '{"a":1}{"a":2}', '{"a":1}]', '{"a":1} x', "[1],[2]", "", "{", '"x"', '{"a":1,"a":2}']
+    cases = ['[1],"end-of-line-5b0f1c92"] x', '"end-of-line-5b0f1c92"', "1,2", "{}", "1", " [1] ", "null", '{"a":1},', '{"a":1}{"a":2}', '{"a":1}]', '{"a":1} x', "[1],[2]", "", "{", '"x"', '{"a":1,"a":2}']
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
@@ -68,6 +71,25 @@ def test_chat_routes(spark):
     assert said(spark, "chat", {"dia.log": [{"role": "critic", "content": "x"}, {"role": "gpt", "content": "y"}]}, options=own) == [[("user", "x"), ("gpt", "y")]]
 
 
+def test_first_answer_key(spark):
+    assert said(spark, "chat", {"instruction": "q", "response": "R", "answer": "A"}) == [[("user", "q"), ("assistant", "R")]]
+    assert said(spark, "chat", {"instruction": " ", "question": "Q", "output": "", "answer": "A"}) == [[("user", "Q"), ("assistant", "A")]]
+
+
+def test_registries(spark):
+    register_adapter("first", lambda m: adapters.examples(F.array(adapters.message("assistant", exprs.string_at(m, "x"))), "first"))
+    register_emitter("size", lambda messages: F.struct(F.size(messages).alias("size")))
+    assert [r.size for r in convert(lines(spark, {"x": "a"}), "first", "size").collect()] == [1]
+    for register, name in ((register_adapter, "chat"), (register_emitter, "alpaca")):
+        with pytest.raises(ValueError, match="already"):
+            register(name, lambda m: m)
+
+
+def test_each_line_is_parsed_once(spark):
+    plan = convert(lines(spark, {"text": "a"}), "chat")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json(concat([,") <= 3, plan.count("parse_json(concat([,")  # the value, and the two forms for texts that hold the end mark
+
+
 def test_pairwise(spark):
     pair = {s: [{"role": "user", "content": s[-1]}] for s in ("conversation_a", "conversation_b")}
     wins = [pair | {"winner": w} for w in ("model_a", " B", "tie", None)] + [pair]
@@ -107,6 +129,11 @@ def test_profile(spark):
     df = lines(spark, {"m": [{"r": 1}, {"r": {"m": 2}}], "k": None}, {"k": 1}, [1])
     assert {r.key: r.n for r in key_frequency(df).collect()} == {"m": 1, "k": 2}
     assert {r.key: r.n for r in key_frequency(df, recursive=True).collect()} == {"m": 2, "k": 2, "r": 2}
+    assert {r.key: r.n for r in key_frequency(df, max_rows=1).collect()} == {"m": 1, "k": 1}
+    for bad in (key_frequency, uniform_schema):
+        with pytest.raises(Exception, match="invalid JSON"):
+            bad(lines(spark, {"a": 1}, "{")).collect()
+    assert uniform_schema(lines(spark, {"a": 1}, {"b": 1}), max_rows=1).first()[0] is True
     assert uniform_schema(df).first()[0] is False
     assert uniform_schema(lines(spark, {"a": 1, "b": 2}, {"b": 0, "a": None})).first()[0] is True
     assert uniform_schema(df.limit(0)).first()[0] is False
@@ -122,6 +149,7 @@ def test_allocate():
     assert mix.allocate([1, 1, 1], 100) == [34, 33, 33]
     assert mix.allocate([1] * 4, 6) == [0, 2, 2, 2]
     assert mix.allocate([1] * 4, 2) == [2, 0, 0, 0]
+    assert mix.allocate([7, 93], 150) == [11, 139] and mix.allocate([7, 31, 62], 150) == [11, 46, 93]
     assert mix.allocate([0.4, 0.3, 0.3], 5) == [1, 2, 2]
     for bad in ([], [0, 0], [1, -1]):
         with pytest.raises(ValueError):
@@ -159,17 +187,16 @@ def test_mix(spark):
 def test_shapes(spark, tmp_path, text, shape, values):
     assert jsonl.detect_shape(text.encode()) == shape
     (tmp_path / "x.json").write_bytes(text.encode())
-    got = jsonl.normalize(spark, str(tmp_path)).orderBy("pos").collect()
+    got = files.normalized(spark, str(tmp_path / "x.json")).collect()
     assert len(got) == values and all(json.loads(r.value) is not None for r in got)
 
 
 def test_bad_files(spark, tmp_path):
     assert jsonl.detect_shape(b"3") == "invalid" and jsonl.detect_shape(b"{") == "invalid"
-    (tmp_path / "x.jsonl").write_text('{"a":1},\n{"a":2}\n')
-    with pytest.raises(Exception, match="trailing comma at line 1"):
-        jsonl.normalize(spark, str(tmp_path)).collect()
-    with pytest.raises(Exception, match="trailing comma"):
-        jsonl.strict_lines(jsonl.scan(spark, str(tmp_path))).collect()
+    for text, why in (('{"a":1},\n{"a":2}\n', "trailing comma: .*x.jsonl.* line 1"), ("3", "neither"), ('"x"', "neither"), ('{"a":1}\nbroken\n', "invalid JSON: .*x.jsonl.* line 2"), ("[1, 2", "x.jsonl")):
+        (tmp_path / "x.jsonl").write_text(text)
+        with pytest.raises(Exception, match=why):
+            files.normalized(spark, str(tmp_path / "x.jsonl")).collect()
 
 
 def test_files_and_stream(spark, tmp_path):
