@@ -119,7 +119,8 @@ def iter_objects(spark: SparkSession, path: str, max_rows: int | None = None) ->
     if not whole.select(is_json(F.ltrim("value", F.lit("﻿")))).first()[0]:
         return records(scan(spark, path), max_rows).select("raw", "line_key")
     is_list = whole.select(F.ltrim("value", F.lit("﻿")).startswith("[")).first()[0]
-    rows = whole.select(F.ltrim("value", F.lit("﻿")).alias("value")).selectExpr("posexplode(try_variant_get(parse_json(value), '$', 'array<variant>')) as (line_key, v)" if is_list else "0 as line_key, parse_json(value) as v")
+    items = ["posexplode(try_variant_get(parse_json(value), '$', 'array<variant>')) as (line_key, v)"] if is_list else ["0 as line_key", "parse_json(value) as v"]
+    rows = whole.select(F.ltrim("value", F.lit("﻿")).alias("value")).selectExpr(*items)
     rows = rows if max_rows is None or not is_list else rows.where(F.col("line_key") < max_rows)
     return rows.where("schema_of_variant(v) like 'OBJECT%'").select(F.to_json("v").alias("raw"), "line_key")
 

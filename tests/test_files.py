@@ -154,7 +154,7 @@ def test_manifest(tmp_path, monkeypatch):
     monkeypatch.setenv("SOME_TOKEN", "from env")
     token = manifests.Token("SOME_TOKEN", str(tmp_path / "t"))
     assert token.resolve("given") == "given" and token.resolve(" ") == "from file" and replace(token, file=str(tmp_path / "none")).resolve() == "from env" and manifests.Token().resolve() is None
-    assert manifests.safe_name('a/b: "c"') == "a_b_c" and manifests.safe_name("//") == "unnamed" and manifests.redact("https://u:p@h/x") == "https://h/x" and manifests.raw_suffix("X.JSON.GZ") == ".json.gz"
+    assert manifests.safe_name('a/b: "c"') == "a_b___c" and manifests.safe_name("//") == "unnamed" and manifests.redact("https://u:p@h/x") == "https://h/x" and manifests.raw_suffix("X.JSON.GZ") == ".json.gz"
 
 
 def test_run(tmp_path):
