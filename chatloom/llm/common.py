@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,18 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over slices of `rows` rows. At the end, memory that the worker has freed goes back to the system, as Spark keeps the worker for other stages."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows))
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return over
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, small: int = SMALL_EDGES) -> DataFrame:
     """(node, root) of every node in edges that isn't the least of its connected component.
 

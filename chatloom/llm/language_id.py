@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from chatloom.llm import text as T
-from chatloom.llm.common import table
+from chatloom.llm.common import sliced, table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 16, 8
 #: The labelled sample that the network is fitted on: so many documents, with all of their windows.
 TRAIN_DOCS = 1000
+#: Rows that a worker judges at once.
+HELD_ROWS = 1000
 #: Added to the count of each pair of classes; an alphabet's least share of a language's letters; how far the
 #: limit is from random letters' mean towards the language's.
 SMOOTH, LEAST_SHARE, LIMIT = 0.1, 5e-4, 0.4
@@ -269,7 +271,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
             best, top, known = judge(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], judge.names.take(pa.array(best)), pa.array(top), pa.array(known & (best < len(judge.names) - 1))], ["doc_id", "predicted", "probability", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, predicted string, probability double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(sliced(run, HELD_ROWS), "doc_id long, predicted string, probability double, keep boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,16 +283,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that identify() keeps, in one pass: the text of a row is judged beside the row. A null or blank `lang` becomes the language found; others stay."""
     names = docs.columns
     network = train(docs)
-    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))
+    rows, text = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")), names.index("text")
     sent = spark.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in batches:
-            best, _, known = judge(batch["text"])
+            best, _, known = judge(batch["row"].field(text))
             good = pa.array(known & (best < len(judge.names) - 1))
             yield pa.RecordBatch.from_arrays([batch["row"].filter(good), judge.names.take(pa.array(best)).filter(good)], ["row", "predicted"])
 
-    kept = numbered.mapInArrow(run, StructType([StructField("row", docs.schema), StructField("predicted", StringType())]))
+    kept = rows.mapInArrow(sliced(run, HELD_ROWS), StructType([StructField("row", docs.schema), StructField("predicted", StringType())]))
     lang = F.coalesce(F.when(F.trim(F.col("row").getField("lang")) != "", F.col("row").getField("lang")), F.col("predicted"))
     return kept.select(*((lang if c == "lang" else F.col("row").getField(c)).alias(c) for c in names))
