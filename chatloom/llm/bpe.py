@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut, table
+from chatloom.llm.common import cut, sliced, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,6 +33,8 @@ CHUNK, OVERLAP = 32_768, 1024
 LOOK = 8
 #: Texts of a batch that are held as tokens at once, in bytes.
 HELD_BYTES = 1_000_000
+#: Chunks of long texts whose pieces are held as Python numbers at once.
+HELD_CHUNKS = 16
 _TOKENS = "doc_id long, n_tokens long, tokens array<int>, n_bytes long, exact boolean"
 _made: dict[bytes, tiktoken.Encoding] = {}
 
@@ -81,7 +83,7 @@ def _whole(docs: DataFrame, ranks: Broadcast) -> DataFrame:
         for batch in batches:
             yield from _coded(enc, batch["doc_id"], batch["text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _TOKENS)
+    return docs.select("doc_id", "text").mapInArrow(sliced(run, 1000), _TOKENS)
 
 
 def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -101,7 +103,7 @@ def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, ends], [*batch.schema.names, "piece_ends"])
 
     rows = "doc_id long, digest binary, k int, lo long, chunk string"
-    return long.mapInArrow(split, rows).repartition("doc_id", "digest", "k").mapInArrow(pieces, f"{rows}, piece_ends array<int>")
+    return long.mapInArrow(sliced(split, 1), rows).repartition("doc_id", "digest", "k").mapInArrow(sliced(pieces, HELD_CHUNKS), f"{rows}, piece_ends array<int>")
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -155,7 +157,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap:
     held = parts.alias("p").join(met, [F.col("e.digest") == F.col("p.digest"), F.col("e.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("e.k") == F.col("p.k")])
     held = held.select("p.doc_id", "p.digest", "p.k", "chunk", "piece_ends", "first", "last").alias("h")
     held = held.join(gone, [F.col("h.digest") == F.col("x.digest"), F.col("h.doc_id").eqNullSafe(F.col("x.doc_id"))], "left_anti")
-    coded = held.mapInArrow(code, "doc_id long, digest binary, k int, tokens array<int>, n_bytes long, exact boolean")
+    coded = held.mapInArrow(sliced(code, HELD_CHUNKS), "doc_id long, digest binary, k int, tokens array<int>, n_bytes long, exact boolean")
     joined = coded.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("k", "tokens"))).alias("parts"), F.sum("n_bytes").alias("n_bytes"), F.bool_and("exact").alias("exact"))
     joined = joined.select("doc_id", "digest", F.flatten(F.transform("parts", lambda p: p["tokens"])).alias("tokens"), "n_bytes", "exact").alias("j")
     copies = long.select("doc_id", "digest", "copies").alias("c")
