@@ -27,11 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm import text as T
-from chatloom.llm.common import components, cut, table
+from chatloom.llm.common import components, cut, sliced, table
 
 RADIUS, JACCARD, ROUTES, SHARD_ROWS = 26, 0.5, 4, 8192
 FORWARD, REVERSE, BEAM, STEP, ENTRIES, AUDITED, RECALL = 8, 16, 32, 4, 16, 32, 0.95
 LONG_WORD, MOST_ROUTES = 4, 64
+#: Points of a part whose beams are held at once.
+HELD_QUERIES = 2048
+#: Rows that a worker handles at once.
+HELD_ROWS = 1000
 _BIG = np.int64(1) << 62
 
 
@@ -92,7 +96,7 @@ def fingerprints(docs: DataFrame, routes: int = ROUTES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.slice(a, b - a).column(c) for c in ("doc_id", "same")), pa.array(fp[:, 0]), pa.array(fp[:, 1]), lists], ["doc_id", "same", "f0", "f1", "keys"])
 
     some = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return some.select("doc_id", digest().alias("same"), "text").mapInArrow(run, "doc_id long, same binary, f0 long, f1 long, keys array<long>")
+    return some.select("doc_id", digest().alias("same"), "text").mapInArrow(sliced(run, HELD_ROWS), "doc_id long, same binary, f0 long, f1 long, keys array<long>")
 
 
 def digest() -> Column:
@@ -225,11 +229,14 @@ def part_trees(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius
     audited = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(np.int64))
     exact = (distances(points[audited], points[spot]) <= radius) & (spot[None, :] != audited[:, None])
     while True:
-        found = graph.search(points, beam)
-        hit = found < (np.int64(radius + 1) << 32)
-        full = hit[:, -1]
-        of, col = np.nonzero(hit)
-        to, far = spot[found[of, col] & 0xFFFFFFFF], found[of, col] >> 32
+        full, hits = np.zeros(n, bool), []
+        for a in range(0, n, HELD_QUERIES):  # of a block's beams only the hits are held
+            found = graph.search(points[a : a + HELD_QUERIES], beam)
+            hit = found < (np.int64(radius + 1) << 32)
+            full[a : a + HELD_QUERIES] = hit[:, -1]
+            row, col = np.nonzero(hit)
+            hits.append((a + row, spot[found[row, col] & 0xFFFFFFFF], found[row, col] >> 32))
+        of, to, far = (np.concatenate(c) for c in zip(*hits))
         open_ = ~full[audited]
         want = exact[open_].sum()
         got = np.isin(of[of != to], audited[open_]).sum()
@@ -316,7 +323,7 @@ def word_pairs(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.slice(a, b - a).column("node"), pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.array(flat))], ["node", "pairs"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, pairs array<long>")
+    return docs.select("node", "text").mapInArrow(sliced(run, HELD_ROWS), "node long, pairs array<long>")
 
 
 def verified(docs: DataFrame, texts: DataFrame, edges: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -344,7 +351,7 @@ def routing_recall(docs: DataFrame, texts: DataFrame, roots: DataFrame, radius:
             x, y = np.nonzero((distances(asked, near) <= radius) & (ids[:, None] != mine[None]))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], mine[y])), pa.array(np.maximum(ids[x], mine[y]))], ["a", "b"])
 
-    pairs = points.mapInArrow(run, "a long, b long").distinct().join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    pairs = points.mapInArrow(sliced(run, HELD_ROWS), "a long, b long").distinct().join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
     pairs = cut(pairs.select("a", "b", (F.coalesce("ra", "a") == F.coalesce("rb", "b")).alias("met")))
     met = pairs.where("met").count()
     apart = pairs.where("not met").select("a", "b")
