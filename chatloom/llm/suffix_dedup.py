@@ -10,7 +10,7 @@ among the n-grams of `gram` words in it, so equal windows always meet in one gro
 2. The words of the runs that remain (as 32-bit codes) collapse where they are equal before they are brought
    together by minimizer; which documents hold them stays apart. Over the distinct runs of whole groups a suffix
    array is built: only the suffixes smaller than their successors are sorted directly (by the words up to the
-   next of them, and where these tie, by the same method over the sequence of their ranks), and all others are
+   next of them, and where these tie, by the ranks of twice as many of them each time), and all others are
    induced from them by one scan over the buckets of first words. Then the common prefix of each adjacent pair
    is computed.
 3. Neighbours whose common prefix has `length` words or more begin with the same window. All of its occurrences
@@ -75,14 +75,43 @@ def minimizer_runs(h: np.ndarray, ptr: np.ndarray, length: int, gram: int, hot:
     return row, least[starts], starts - ptr[row], count
 
 
+def doubled(order: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The suffixes of a sequence of ranks in order, of its places sorted by rank; fresh: whether a rank differs from the one before.
+
+    Those that tie are sorted by the rank that follows at 1, 2, 4 and so on places; the end is less than all. The
+    rounds are as many as the binary logarithm of the longest common prefix, whatever the sequence repeats.
+    """
+    n = len(order)
+    order, head = order.copy(), np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    open_ = np.arange(n)  # spots of `order` that may tie
+    ahead = 1
+    while True:
+        same = head[open_][1:] == head[open_][:-1]
+        open_ = open_[np.append(same, False) | np.append(False, same)]
+        if not len(open_):
+            return order
+        at = order[open_]
+        after = np.where(at + ahead < n, rank[np.minimum(at + ahead, n - 1)], -1)
+        k = np.lexsort((after, head[open_]))
+        at, after, mine = at[k], after[k], head[open_]
+        new = np.ones(len(k), bool)
+        new[1:] = (mine[1:] != mine[:-1]) | (after[1:] != after[:-1])
+        order[open_] = at
+        head[open_] = np.maximum.accumulate(np.where(new, open_, 0))
+        rank[at] = head[open_]
+        ahead *= 2
+
+
 def two_stage(t: np.ndarray) -> np.ndarray:
     """The suffix array of small whole numbers, a suffix before those that it is a prefix of.
 
     A suffix is of type B if it is smaller than the suffix after it, else of type A; the last one is A. Only
     B is sorted directly: by the numbers from one B to the next, in which a B stands behind an A of the same
-    number. What ties there is settled by the order of the sequence of ranks, by recursion; it is at most half as
-    long where B are fewer than half, and the stretches together are never longer than 2 n. A are put at
-    the front of their bucket in the order of a scan, which meets a suffix's successor before the suffix.
+    number. What ties there is settled by the order of the sequence of ranks, as doubled() finds it; the stretches
+    together are never longer than 2 n. A are put at the front of their bucket in the order of a scan, which
+    meets a suffix's successor before the suffix.
     """
     n = len(t)
     if n < 2:
@@ -101,11 +130,9 @@ def two_stage(t: np.ndarray) -> np.ndarray:
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
         fresh = np.ones(len(order), bool)
         fresh[1:] = [keys[a] != keys[b] for a, b in zip(order[1:].tolist(), order[:-1].tolist())]
+        del keys
         if not fresh.all():
-            name = np.empty(len(order), np.int64)
-            name[order] = np.cumsum(fresh) - 1
-            del keys
-            order = two_stage(name)
+            order = doubled(order, fresh)
         direct = direct[order]
     size = np.bincount(t, minlength=int(t.max()) + 1)
     head = np.concatenate([[0], np.cumsum(size)[:-1]])

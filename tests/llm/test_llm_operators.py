@@ -283,6 +283,28 @@ def test_periodic_text_is_sorted_in_little_memory():
     assert sa[:3].tolist() == [59_999, 59_997, 59_995] and lcp[:2].tolist() == [1, 3] and lcp.max() == 59_998
 
 
+def test_rising_periods_are_sorted():
+    """A word, or a row of words, over and over before a greater one: suffixes of the type sorted directly tie with the next, thousands of times."""
+    for period in ([5], [3, 7], [2, 4, 6, 9], [4, 1, 4, 9]):
+        codes = np.append(np.tile(np.array(period, np.uint32), 4000), np.array([10], np.uint32))
+        sa = suffix_dedup.suffix_array(codes, np.array([len(codes)]))
+        raw = codes.astype(">u4").tobytes()
+        some = sa[:: len(sa) // 500]
+        assert sorted(sa.tolist()) == list(range(len(codes))) and all(raw[4 * a :] < raw[4 * b :] for a, b in zip(some, some[1:]))
+    rng = random.Random(23)
+    for _ in range(60):
+        segs = [([rng.randrange(3) for _ in range(rng.randrange(1, 5))] * 30)[: rng.randrange(1, 60)] for _ in range(rng.randrange(1, 5))]
+        flat, ends = np.array(sum(segs, []), np.uint32), np.cumsum([len(s) for s in segs])
+        suffixes = sorted((tuple(s[p:]), n, int(e) - len(s) + p) for n, (s, e) in enumerate(zip(segs, ends)) for p in range(len(s)))
+        assert suffix_dedup.suffix_array(flat, ends).tolist() == [x[2] for x in suffixes]
+
+
+def test_spans_of_rising_periods(spark):
+    texts = {i: f"{'lone ' * (i % 3)}{'c ' * 2500}end{i // 2}" for i in range(1, 13)} | {20: "a b " * 1500 + "last", 21: "a b " * 1600 + "z"}
+    got = suffix_dedup.repeated_spans(table(spark, [(i, t, "en", "s") for i, t in texts.items()]))
+    assert sorted(map(tuple, got.collect())) == brute_spans(texts, 50)
+
+
 def test_hot_minimizer_is_divided(spark):
     """A phrase in all documents, each time among other words, makes one group; divided, it gives the same spans."""
     rng = random.Random(21)
