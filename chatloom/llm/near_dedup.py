@@ -7,9 +7,9 @@
    the keys differ: this routing replaces the broadcast of every query to every shard. A shard holds about
    `shard_rows` points. The points of one of more than four times as many (a very frequent key) are split among
    parts, and each query of that shard is broadcast to all of its parts.
-3. In each part a navigable small-world graph is built, and every row searches it as a query. Some
-   queries of each part are audited by exact scan; under `recall` the beam expands to twice its size and all
-   repeat. A row whose beam is full of hits is held against all points of the part but those of its tree.
+3. In each part a navigable small-world graph is built, and every row searches it as a query; one that is in the
+   graph begins at its own place, too. Some queries of each part are audited by exact scan; under `recall` all rows
+   of the part are held against all of its points but those of their tree. So is a row whose beam is full of hits.
 4. Minimum spanning trees of the hits of each part are verified on the texts, by the Jaccard similarity of
    the sets of word pairs; verified edges are unioned. Where an edge of a tree fails, all pairs at most
    `radius` apart of that tree's points with points of other components are verified too.
@@ -150,8 +150,8 @@ class Graph:
         self.links[touched, FORWARD:] = -1
         self.links[at[keep], FORWARD + rank[keep]] = source[keep]
 
-    def search(self, queries: np.ndarray, beam: int, known: int | None = None) -> np.ndarray:
-        """[query, beam] of distance << 32 | position among self.points, ascending; _BIG where fewer are found."""
+    def search(self, queries: np.ndarray, beam: int, known: int | None = None, at: np.ndarray | None = None) -> np.ndarray:
+        """[query, beam] of distance << 32 | position among self.points, ascending; _BIG where fewer are found. at: a position from which each query begins besides the entries, -1 for none."""
         n = len(self.points) if known is None else known
         out = np.full((len(queries), beam), _BIG, np.int64)
         block = max(64, min(2048, 16_000_000 // max(n, 1)))
@@ -163,6 +163,14 @@ class Graph:
             best[:, : start.shape[1]] = start
             seen = np.zeros((len(q), n), bool)
             seen[:, entry] = True
+            if at is not None:
+                row = np.flatnonzero(at[a : a + block] >= 0)
+                spot = at[a : a + block][row]
+                row, spot = row[~seen[row, spot]], spot[~seen[row, spot]]
+                near = np.bitwise_count(q[row] ^ self.points[spot]).sum(1, dtype=np.int64)
+                best[row, -1] = np.minimum(best[row, -1], near << 33 | spot << 1)
+                best.sort(1)
+                seen[row, spot] = True
             rows = np.arange(len(q))
             while len(rows):
                 now = best[rows]
@@ -228,34 +236,35 @@ def part_trees(ids: np.ndarray, points: np.ndarray, inserted: np.ndarray, radius
     spot = own[graph.order]  # a position in the graph to a row
     audited = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(np.int64))
     exact = (distances(points[audited], points[spot]) <= radius) & (spot[None, :] != audited[:, None])
-    while True:
-        full, hits = np.zeros(n, bool), []
-        for a in range(0, n, HELD_QUERIES):  # of a block's beams only the hits are held
-            found = graph.search(points[a : a + HELD_QUERIES], beam)
-            hit = found < (np.int64(radius + 1) << 32)
-            full[a : a + HELD_QUERIES] = hit[:, -1]
-            row, col = np.nonzero(hit)
-            hits.append((a + row, spot[found[row, col] & 0xFFFFFFFF], found[row, col] >> 32))
-        of, to, far = (np.concatenate(c) for c in zip(*hits))
-        open_ = ~full[audited]
-        want = exact[open_].sum()
-        got = np.isin(of[of != to], audited[open_]).sum()
-        if beam >= len(own) or got >= RECALL * want:
-            break
-        beam *= 2
+    at = np.full(n, -1, np.int64)
+    at[spot] = np.arange(len(own))
+    full, hits = np.zeros(n, bool), []
+    for a in range(0, n, HELD_QUERIES):  # of a block's beams only the hits are held
+        found = graph.search(points[a : a + HELD_QUERIES], beam, at=at[a : a + HELD_QUERIES])
+        hit = found < (np.int64(radius + 1) << 32)
+        full[a : a + HELD_QUERIES] = hit[:, -1]
+        row, col = np.nonzero(hit)
+        hits.append((a + row, spot[found[row, col] & 0xFFFFFFFF], found[row, col] >> 32))
+    of, to, far = (np.concatenate(c) for c in zip(*hits))
+    open_ = ~full[audited]
+    want = exact[open_].sum()
+    got = np.isin(of[of != to], audited[open_]).sum()
+    if beam < len(own) and got < RECALL * want:
+        full[:] = True
     apart = of != to
     of, to, far = of[apart], to[apart], far[apart]
     kept, root = forest(n, of, to, far)
     edges = [(of[kept], to[kept])]
     rows, label = np.flatnonzero(full), _labels(root)
-    for a in range(0, len(rows), 256):  # what a full beam may not hold: hits outside the row's tree
-        q = rows[a : a + 256]
+    block = max(1, 500_000 // len(own))
+    for a in range(0, len(rows), block):  # what a full beam may not hold, or a search may miss: hits outside the row's tree
+        q = rows[a : a + block]
         d = distances(points[q], points[spot])
         x, y = np.nonzero((d <= radius) & (label[spot][None, :] != label[q][:, None]))
         if len(x):
             kept, root = forest(n, q[x], spot[y], d[x, y], root)
             edges.append((q[x][kept], spot[y][kept]))
-            label = _labels(root)
+            label = _labels(root) if kept else label
     of, to = (np.concatenate(c) for c in zip(*edges))
     return ids[of], ids[to], ids[label[of]]
 
@@ -284,8 +293,8 @@ def candidate_trees(spread: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pa.table({"shard": pa.array([key[0].as_py()] * len(a), pa.int64()), "part": pa.array([key[1].as_py()] * len(a), pa.int32()), "a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "tree": pa.array(tree, pa.int64())})
 
     parts = spread.select("shard", "part").distinct().count()
-    # a number of its own: bytes, by which partitions are joined at run time, say nothing of the searches' cost
-    tasks = max(1, min(parts, max(4 * spread.sparkSession.sparkContext.defaultParallelism, parts // 16)))
+    # a number of its own: bytes, by which partitions are joined at run time, say nothing of the searches' cost; small ones, as parts differ much
+    tasks = max(1, min(parts, max(32 * spread.sparkSession.sparkContext.defaultParallelism, parts // 4)))
     return spread.repartition(tasks, "shard", "part").groupBy("shard", "part").applyInArrow(run, "shard long, part int, a long, b long, tree long")
 
 

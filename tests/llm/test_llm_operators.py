@@ -574,6 +574,31 @@ def test_scan_again_leaves_no_pair(spark):
     assert rows(near_dedup.scan_again(spread, asks, label)) == [(0, 1), (1, 3), (1, 4), (1, 5)]
 
 
+def test_a_failed_audit_leaves_no_pair(monkeypatch):
+    """Where the searches miss what the audit sees, the part is scanned: each pair within the radius is in one tree."""
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    points = np.concatenate([base, base ^ np.uint64(1 << 5), base[:40] ^ np.uint64(7 << 9)])
+    n = len(points)
+    root = list(range(n))
+    x, y = np.nonzero(near_dedup.distances(points, points) <= near_dedup.RADIUS)
+    want = near_dedup._labels(near_dedup.forest(n, x, y, np.zeros(len(x)), root)[1])
+    monkeypatch.setattr(near_dedup.Graph, "search", lambda self, queries, beam, *_, **__: np.full((len(queries), beam), near_dedup._BIG))
+    a, b, tree = near_dedup.part_trees(np.arange(n), points, np.ones(n, bool))
+    got = near_dedup._labels(near_dedup.forest(n, a, b, np.zeros(len(a)), list(range(n)))[1])
+    assert len(a) == 340 and got.tolist() == want.tolist() and (got[a] == got[tree]).all()
+
+
+def test_a_search_begins_at_its_own_place():
+    """Points that no entry leads to, as copies link to each other, are found by each other."""
+    points = np.random.default_rng(32).integers(0, 1 << 63, (200, 2), dtype=np.uint64)
+    g = near_dedup.Graph(points)
+    g.links[:] = -1
+    g.links[101, 0], g.links[102, 0] = 102, 101
+    found = g.search(g.points[[101, 102, 150]], 20, at=np.array([101, 102, -1]))
+    assert {101, 102} <= set(found[0] & 0xFFFFFFFF) and {101, 102} <= set(found[1] & 0xFFFFFFFF) and not {101, 102, 150} & set(found[2] & 0xFFFFFFFF)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
