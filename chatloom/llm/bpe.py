@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut, sliced, table
+from chatloom.llm.common import cut, in_order, sliced, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +35,7 @@ LOOK = 8
 HELD_BYTES = 1_000_000
 #: Chunks of long texts whose pieces are held as Python numbers at once.
 HELD_CHUNKS = 16
-_TOKENS = "doc_id long, n_tokens long, tokens array<int>, n_bytes long, exact boolean"
+_TOKENS = "doc_id long, n_tokens long, tokens array<int>, n_bytes long, exact boolean, place long"
 _made: dict[bytes, tiktoken.Encoding] = {}
 
 
@@ -58,7 +58,7 @@ def boundaries(text: str) -> list[int]:
     return [m.end() for m in regex.finditer(PATTERN, text)]
 
 
-def _coded(enc: tiktoken.Encoding, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+def _coded(enc: tiktoken.Encoding, ids: pa.Array, texts: pa.Array, places: pa.Array) -> Iterator[pa.RecordBatch]:
     """Rows of _TOKENS for whole texts."""
     a, n = 0, len(texts)
     while a < n:
@@ -73,7 +73,7 @@ def _coded(enc: tiktoken.Encoding, ids: pa.Array, texts: pa.Array) -> Iterator[p
                 held += len(raw)
             b += 1
         count, tokens, size, exact = zip(*rows)
-        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(count, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(size, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "tokens", "n_bytes", "exact"])
+        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(count, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(size, pa.int64()), pa.array(exact, pa.bool_()), places.slice(a, b - a)], ["doc_id", "n_tokens", "tokens", "n_bytes", "exact", "place"])
         a = b
 
 
@@ -81,9 +81,9 @@ def _whole(docs: DataFrame, ranks: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value)
         for batch in batches:
-            yield from _coded(enc, batch["doc_id"], batch["text"])
+            yield from _coded(enc, batch["doc_id"], batch["text"], batch["place"])
 
-    return docs.select("doc_id", "text").mapInArrow(sliced(run, 1000), _TOKENS)
+    return docs.select("doc_id", "text", "place").mapInArrow(sliced(run, 1000), _TOKENS)
 
 
 def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -106,20 +106,21 @@ def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return long.mapInArrow(sliced(split, 1), rows).repartition("doc_id", "digest", "k").mapInArrow(sliced(pieces, HELD_CHUNKS), f"{rows}, piece_ends array<int>")
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, place: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, tokens, n_bytes, exact) of every row.
 
     tokens are those of the whole text in one go; exact: whether decoding gives the text's bytes again.
     A null text has nulls in all but doc_id, an empty one no tokens. Null ids stay null. Rows that repeat
-    come out as often. Strings that look like special tokens are ordinary text. Other columns aren't read.
+    come out as often. Strings that look like special tokens are ordinary text. place: a column of numbers that the
+    result has as place. Other columns aren't read.
     """
     if not LOOK < overlap <= chunk:
         raise ValueError(f"overlap must be between {LOOK + 1} and chunk")
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", (F.col(f"`{place}`") if place else F.lit(-1)).cast("long").alias("place"))
     is_long = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
     # equal rows are one here, and have their number restored: a chunk is known by id, text and place
-    long = cut(docs.where(is_long).groupBy("doc_id", F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    long = cut(docs.where(is_long).groupBy("doc_id", F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text"), F.collect_list("place").alias("places")))
     parts = cut(_chunks(long.select("doc_id", "digest", "text"), chunk, overlap))
     same = Window.partitionBy("doc_id", "digest").orderBy("k")
     tail = F.transform(F.filter("piece_ends", lambda e: (e >= chunk) & (e < chunk + overlap - LOOK)), lambda e: (e - chunk).cast("int"))
@@ -160,13 +161,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap:
     coded = held.mapInArrow(sliced(code, HELD_CHUNKS), "doc_id long, digest binary, k int, tokens array<int>, n_bytes long, exact boolean")
     joined = coded.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("k", "tokens"))).alias("parts"), F.sum("n_bytes").alias("n_bytes"), F.bool_and("exact").alias("exact"))
     joined = joined.select("doc_id", "digest", F.flatten(F.transform("parts", lambda p: p["tokens"])).alias("tokens"), "n_bytes", "exact").alias("j")
-    copies = long.select("doc_id", "digest", "copies").alias("c")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")
+    copies = long.select("doc_id", "digest", "places").alias("c")
+    times = F.explode("places").alias("place")
     stitched = joined.join(copies, [F.col("j.digest") == F.col("c.digest"), F.col("j.doc_id").eqNullSafe(F.col("c.doc_id"))])
-    stitched = stitched.select("j.doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "n_bytes", "exact", times).drop("_")
+    stitched = stitched.select("j.doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "n_bytes", "exact", times)
     rest = long.alias("l").join(gone, [F.col("l.digest") == F.col("x.digest"), F.col("l.doc_id").eqNullSafe(F.col("x.doc_id"))], "left_semi")
-    rest = rest.select("doc_id", "text", times).drop("_")
-    return _whole(docs.where(~is_long), ranks).union(stitched).union(_whole(rest, ranks))
+    rest = rest.select("doc_id", "text", times)
+    out = _whole(docs.where(~is_long), ranks).union(stitched).union(_whole(rest, ranks))
+    return out if place else out.drop("place")
 
 
 def decode(coded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -192,5 +194,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of every document."""
-    return encode(docs)
+    """The tokens of every document, and place: its number in the order in which the stage before, the mix, holds them."""
+    return encode(in_order(docs, "doc_id", "text"), place="place")

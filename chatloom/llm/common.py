@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,20 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
+def in_order(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns `names` of docs, and place: the row's number from 0 on in the order in which the files of docs hold the rows. Where docs aren't read from files, places ascend as the rows come, with gaps."""
+    try:
+        held = docs.metadataColumn("_metadata")
+        rows = docs.select(*names, held["file_path"].alias("_file"), held["row_index"].alias("_row"))
+    except AnalysisException:
+        return docs.select(*names, F.monotonically_increasing_id().alias("place"))
+    # by length first, as the numbers in the names of many files do not all have five digits
+    counts = sorted(rows.groupBy("_file").count().collect(), key=lambda r: (len(r[0]), r[0]))
+    ahead = [0, *itertools.accumulate(r[1] for r in counts)]
+    begins = docs.sparkSession.createDataFrame([(r[0], n) for r, n in zip(counts, ahead)], "_file string, _begin long")
+    return rows.join(F.broadcast(begins), "_file").select(*names, (F.col("_begin") + F.col("_row")).alias("place"))
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

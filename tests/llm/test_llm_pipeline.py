@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatloom.llm import bpe, common, language_id, queries
+from chatloom.llm import bpe, common, language_id, mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +45,28 @@ def test_pipeline(spark):
     assert whole == last
 
 
+def test_the_mix_orders_the_result(spark, monkeypatch):
+    """The places of the last stage are those of the mix: shard by shard, each in its order; long texts and repeats have theirs, too."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 16)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.orderBy(F.desc("n_chars"), "doc_id").limit(3).withColumn("text", F.repeat("text", 4))
+    docs = docs.union(long).union(long.limit(1)).union(long.limit(1).withColumn("text", F.lit("x" * 40_000)))
+    docs = common.stored(docs, "docs")[0]
+    spots = {}
+    for r in mixing.placed(docs).select("row.doc_id", "shard", "position").collect():
+        spots.setdefault(r.doc_id, []).append((r.shard, r.position))
+    mixed, _ = common.stored(mixing.stage(spark, docs, SF), "mixing")
+    got = bpe.stage(spark, mixed, SF).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(docs.count())) and max(r.n_bytes for r in got) > bpe.CHUNK + bpe.OVERLAP
+    shards = {}
+    for r in got:
+        shards.setdefault(next(s for s, p in spots[r.doc_id] if p == len(shards.get(s, ()))), []).append(r)
+    assert len(shards) > 8 and [r.place for rs in shards.values() for r in rs] == list(range(len(got)))
+    plain, _ = common.stored(docs, "plain")
+    assert [r.doc_id for r in bpe.stage(spark, plain, SF).orderBy("place").collect()] != [r.doc_id for r in got]
+    assert bpe.stage(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), SF).first().n_tokens == 2
+
+
 def test_pipeline_on_an_odd_table(spark, tmp_path):
     """Nulls, empties, repeats, ids that texts share and names that clash, through all stages."""
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars between 700 and 3000").orderBy("doc_id").limit(12).collect()
