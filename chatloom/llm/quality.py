@@ -7,8 +7,9 @@ they have themselves. Raw multinomial: all documents. A text's score is the mean
 log(target) - log(raw), so it doesn't grow with length, and a text is kept if that is the threshold or more.
 The same rule holds for every text, at every length.
 
-The threshold isn't set by hand: labelled documents held out of the target are scored, and it is where the
-shares of good and of bad ones on the right side have the greatest mean.
+The threshold isn't set by hand: all labelled documents fall into FOLDS folds, each is scored by a target of the
+other folds' good ones, and it is where the shares of good and of bad ones on the right side have the greatest
+mean. The target that scores the corpus is of the good ones of all folds.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from chatloom.llm import text as T
 from chatloom.llm.common import cut, table
 
 BITS, SMOOTHING = 20, 0.5
-#: One labelled document in HELD_SHARE is held out for the threshold, HELD_DOCS of them at most.
-HELD_SHARE, HELD_DOCS = 4, 20_000
+#: Folds of the labelled documents.
+FOLDS = 4
 #: Up to so many trusted ids go to all executors (8 bytes each); more are joined by a shuffle, with the same counts.
 SENT_IDS = 4_000_000
+#: Up to so many labelled rows go to all executors for the threshold; more are joined by a shuffle, with the same counts.
+SENT_LABELS = 1_000_000
 #: Held-out scores are counted by steps of this size.
 STEP = 1e-3
 
@@ -44,57 +47,80 @@ def grams(data: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _tally(docs: DataFrame, trusted: np.ndarray | None, bits: int) -> DataFrame:
-    """(bucket, raw, target) summed by task; docs have doc_id and text, and `good` where trusted is None."""
+def _tally(docs: DataFrame, trusted: tuple[np.ndarray, np.ndarray] | None, folds: int, bits: int) -> DataFrame:
+    """(bucket, raw, target by fold) summed by task; trusted: ids, ascending, and their folds; where it is None, docs have doc_id, text and `fold`, null for those not trusted."""
     sent = docs.sparkSession.sparkContext.broadcast(trusted)
+    names = [f"t{k}" for k in range(folds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        ids = sent.value
+        raw, target = np.zeros(1 << bits, np.int64), np.zeros((folds, 1 << bits), np.int64)
+        known = sent.value
         for batch in batches:
-            if ids is None:
-                good = batch["good"].to_numpy(zero_copy_only=False)
+            if known is None:
+                fold = batch["fold"].fill_null(-1).to_numpy(zero_copy_only=False)
             else:
+                ids, of = known
                 mine = batch["doc_id"].fill_null(0).to_numpy()
                 at = np.minimum(np.searchsorted(ids, mine), max(len(ids) - 1, 0))
                 good = (ids[at] == mine if len(ids) else np.zeros(len(mine), bool)) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+                fold = np.where(good, of[at] if len(ids) else -1, -1)
             data, offs = T.buffers(batch["text"])
             for a, b, d, o in T.chunks(data, offs):
                 row, bucket = grams(d, o, bits)
                 np.add.at(raw, bucket, 1)
-                np.add.at(target, bucket[good[a:b][row]], 1)
+                mine = fold[a:b][row]
+                np.add.at(target, (mine[mine >= 0], bucket[mine >= 0]), 1)
         some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), *(pa.array(t[some]) for t in target)], ["bucket", "raw", *names])
 
-    return docs.mapInArrow(run, "bucket int, raw long, target long")
+    return docs.mapInArrow(run, ", ".join(["bucket int", "raw long", *(f"{c} long" for c in names)]))
 
 
-def judged(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id) trusted, (doc_id, good) held out): of the labelled documents whose labels agree."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, fold) of all labelled documents whose labels agree."""
     some = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("top")).where("q = top")
-    by_hash = F.xxhash64("doc_id", F.lit(4))
-    held = cut(some.where(F.pmod(by_hash, F.lit(HELD_SHARE)) == 0).orderBy(by_hash, "doc_id").limit(HELD_DOCS).select("doc_id", (F.col("q") == 1).alias("good")))
-    return cut(some.where("q = 1").join(held, "doc_id", "left_anti").select("doc_id")), held
+    return cut(some.select("doc_id", (F.col("q") == 1).alias("good"), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(FOLDS)).cast("int").alias("fold")))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, sent_ids: int = SENT_IDS) -> np.ndarray:
-    """log(target) - log(raw) by bucket, of counts over all documents. All 0 if no document is trusted."""
+def judged(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id) trusted, (doc_id, good) held out): one split, with the first fold held out."""
+    known = labelled(labels)
+    return known.where("good and fold <> 0").select("doc_id"), known.where("fold = 0").select("doc_id", "good")
+
+
+def tallies(docs: DataFrame, trusted: DataFrame, folds: int, bits: int = BITS, sent_ids: int = SENT_IDS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by bucket over all documents, and [fold, bucket] over the trusted ones (doc_id, fold)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if trusted.count() <= sent_ids:
-        counts = _tally(text, np.sort(trusted.toArrow()["doc_id"].to_numpy().astype(np.int64)), bits)
+        t = trusted.toArrow()
+        ids, fold = t["doc_id"].to_numpy().astype(np.int64), t["fold"].to_numpy().astype(np.int8)
+        counts = _tally(text, (ids[k := np.argsort(ids)], fold[k]), folds, bits)
     else:
-        counts = _tally(text.join(trusted.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))), None, bits)
-    total = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+        counts = _tally(text.join(trusted.select("doc_id", "fold"), "doc_id", "left"), None, folds, bits)
+    total = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), *(F.sum(f"t{k}").alias(f"t{k}") for k in range(folds))).toArrow()
+    raw, target = np.zeros(1 << bits), np.zeros((folds, 1 << bits))
     at = total["bucket"].to_numpy()
-    raw[at], target[at] = total["raw"].to_numpy(), total["target"].to_numpy()
+    raw[at] = total["raw"].to_numpy()
+    for k in range(folds):
+        target[k, at] = total[f"t{k}"].to_numpy()
+    return raw, target
+
+
+def ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log(target) - log(raw) by bucket, of counts. All 0 if the target has none."""
     if not target.any():
-        return np.zeros(1 << bits, np.float32)
+        return np.zeros(len(raw), np.float32)
     q = (raw + smoothing) / (raw + smoothing).sum()
     p = (target / target.sum() + q) / 2
     return (np.log(p) - np.log(q)).astype(np.float32)
 
 
+def ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, sent_ids: int = SENT_IDS) -> np.ndarray:
+    """ratio() of counts over all documents and over the trusted ones (doc_id)."""
+    raw, target = tallies(docs, trusted.select("doc_id", F.lit(0).alias("fold")), 1, bits, sent_ids)
+    return ratio(raw, target[0], smoothing)
+
+
 def threshold_of(steps: list[tuple[int, int, int]]) -> float | None:
     """From (step, good, bad) counts of held-out scores: where the mean of the shares of good ones at or above and of bad ones beneath is greatest, half way between the steps there, and at the lowest of equal places; None without good or bad ones."""
     good, bad = sum(s[1] for s in steps), sum(s[2] for s in steps)
@@ -120,17 +146,22 @@ def _scores(batch: pa.RecordBatch, by_bucket: np.ndarray) -> Iterator[tuple[int,
         yield a, b, n, np.round(np.bincount(row, by_bucket[bucket], b - a) / np.maximum(n, 1), 6)
 
 
-def threshold(docs: DataFrame, held: DataFrame, by_bucket: np.ndarray) -> float | None:
-    """threshold_of() the held-out documents' scores; they are HELD_DOCS at most, so their ids may go to all executors."""
-    sent = docs.sparkSession.sparkContext.broadcast(by_bucket)
+def threshold(docs: DataFrame, held: DataFrame, by_bucket: np.ndarray, sent_labels: int = SENT_LABELS) -> float | None:
+    """threshold_of() the scores of all of `held`: (doc_id, good), or (doc_id, good, fold), where by_bucket is [fold, bucket] and a document is scored by its fold's."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.atleast_2d(by_bucket))
+    held = held if "fold" in held.columns else held.withColumn("fold", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, n, mean in _scores(batch, sent.value):
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.floor(mean[some] / STEP).astype(np.int32)), batch["good"].slice(a, b - a).take(pa.array(some))], ["step", "good"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(held), "doc_id").select("text", "good").mapInArrow(run, "step int, good boolean")
+            fold = batch["fold"].to_numpy()
+            for k in np.unique(fold):
+                mine = batch.filter(pa.array(fold == k))
+                for a, b, n, mean in _scores(mine, sent.value[k]):
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.floor(mean[some] / STEP).astype(np.int32)), mine["good"].slice(a, b - a).take(pa.array(some))], ["step", "good"])
+
+    few = held.count() <= sent_labels
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(held) if few else held, "doc_id").select("text", "good", "fold").mapInArrow(run, "step int, good boolean")
     steps = rows.groupBy("step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()
     return threshold_of([tuple(r) for r in steps])
 
@@ -154,6 +185,8 @@ def score(docs: DataFrame, by_bucket: np.ndarray, least: float | None) -> DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trusted, held = judged(table(spark, sf_dir, "labels"))
-    by_bucket = ratios(docs, trusted)
-    return score(docs, by_bucket, threshold(docs, held, by_bucket))
+    known = labelled(table(spark, sf_dir, "labels"))
+    raw, target = tallies(docs, known.where("good").select("doc_id", "fold"), FOLDS)
+    whole = target.sum(0)
+    others = np.stack([ratio(raw, whole - t) for t in target])
+    return score(docs, ratio(raw, whole), threshold(docs, known, others))

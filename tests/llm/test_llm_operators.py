@@ -442,6 +442,29 @@ def test_quality_threshold(spark):
 
 
 # 7
+def test_quality_counts_all_labels(spark):
+    """All labelled documents are in the threshold, each scored by the others' target, and all good ones are in the target of the scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    known = quality.labelled(labels)
+    agree = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.count_distinct("quality").alias("n")).where("n = 1")
+    assert known.count() == agree.count() and {r[0] for r in known.select("fold").distinct().collect()} == set(range(quality.FOLDS))
+    good = known.where("good")
+    raw, target = quality.tallies(docs, good, quality.FOLDS)
+    assert np.array_equal(target, quality.tallies(docs, good, quality.FOLDS, sent_ids=0)[1])
+    assert np.array_equal(quality.ratio(raw, target.sum(0)), quality.ratios(docs, good.select("doc_id")))
+    others = np.stack([quality.ratio(raw, target.sum(0) - t) for t in target])
+    steps = Counter()
+    for k in range(quality.FOLDS):
+        by = quality.ratios(docs, good.where(F.col("fold") != k).select("doc_id"))
+        assert np.array_equal(by, others[k])
+        for r in quality.score(docs, by, None).join(known.where(F.col("fold") == k), "doc_id").where("score is not null").collect():
+            steps[math.floor(r.score / quality.STEP), r.good] += 1
+    want = quality.threshold_of([(s, steps[s, True], steps[s, False]) for s in {s for s, _ in steps}])
+    assert quality.threshold(docs, known, others) == quality.threshold(docs, known, others, sent_labels=0) == want
+    got = quality.query(spark, "/root/testdata/sf0.001")
+    assert rows(got) == rows(quality.score(docs, quality.ratio(raw, target.sum(0)), want))
+
+
 def test_shards(spark, odd, none):
     rng = random.Random(4)
     sizes = np.sort(np.array([rng.randrange(1, 5000) for _ in range(700)]))[::-1]
