@@ -45,6 +45,14 @@ def test_pipeline(spark):
     assert whole == last
 
 
+def test_a_word_repeated_thousands_of_times_passes_stage_3(spark):
+    """Before words greater and lesser than it: the suffixes of the repeats tie with each other."""
+    texts = [(i, f"{'lone ' * i}{'c ' * 2500}end{i // 2}") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, SF).collect()}
+    assert left[0] == texts[0][1] and all("c c" not in t for i, t in left.items() if i)
+
+
 def test_the_mix_orders_the_result(spark, monkeypatch):
     """The places of the last stage are those of the mix: shard by shard, each in its order; long texts and repeats have theirs, too."""
     monkeypatch.setattr(mixing, "SHARD_ROWS", 16)
