@@ -36,6 +36,8 @@ LONG_WORD, MOST_ROUTES = 4, 64
 HELD_QUERIES = 2048
 #: Rows that a worker handles at once.
 HELD_ROWS = 1000
+#: Bits of the map of ids by which rows are chosen before a join, and its words of 64 bits at most (8 MB).
+BITS_AN_ID, MOST_WORDS = 16, 1 << 20
 _BIG = np.int64(1) << 62
 
 
@@ -335,10 +337,27 @@ def word_pairs(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(sliced(run, HELD_ROWS), "node long, pairs array<long>")
 
 
+def among(rows: DataFrame, ids: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows whose doc_id is one of those in ids, and some others, for the caller's join to drop: those whose bit is set in a broadcast map.
+
+    So that join doesn't shuffle all rows: of the others about one in BITS_AN_ID, more where the map would have over
+    most_words words of 64 bits.
+    """
+    words = max(1, min(most_words, -(-ids.count() * BITS_AN_ID // 64)))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(64 * words))
+    word, bit = F.shiftright(at, 6).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+    found = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(words, np.int64)
+    held[found["word"].to_numpy()] = found["bits"].to_numpy()
+    sent = rows.sparkSession.createDataFrame(pa.table({"held": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(held))}))
+    return rows.crossJoin(F.broadcast(sent)).where(F.getbit(F.get("held", word), bit) == 1).select(*rows.columns)
+
+
 def verified(docs: DataFrame, texts: DataFrame, edges: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """The edges (a, b) between nodes whose texts have a Jaccard similarity of word pairs of `jaccard` or more."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", F.col("rep").alias("doc_id"), "same"), "node")
-    rows = docs.select("doc_id", digest().alias("same"), "text").where("text <> ''").join(ends, ["doc_id", "same"])
+    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", F.col("rep").alias("doc_id"), "same"), "node"))
+    some = among(docs.select("doc_id", "text").where("text <> ''"), ends)
+    rows = some.select("doc_id", digest().alias("same"), "text").join(ends, ["doc_id", "same"])
     sets = word_pairs(rows).groupBy("node").agg(F.first("pairs").alias("pairs"))  # rows that repeat have one text
     left, right = sets.toDF("a", "pa"), sets.toDF("b", "pb")
     shared = F.size(F.array_intersect("pa", "pb"))

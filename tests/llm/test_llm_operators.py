@@ -589,6 +589,39 @@ def test_reordered_text_hides_no_copy(spark):
     assert {(r.doc_id, r.keep_id) for r in near_dedup.near_duplicates(docs).collect()} == {(2, 1)}
 
 
+def test_only_candidates_texts_are_shuffled(spark):
+    """Verification moves the texts of the edges' ends, not all; a map that is too small for the ids lets others through but loses none."""
+    rng = random.Random(14)
+    many = [(i, words(rng, 300), "en", "s") for i in range(600)]
+    many[7] = (7, many[3][1] + " more", "en", "s")
+    docs = table(spark, many).cache()
+    assert docs.count() == 600
+    ids = docs.where("doc_id % 5 = 0").select("doc_id")
+    want = {r.doc_id for r in ids.collect()}
+    for most_words, most in ((near_dedup.MOST_WORDS, 180), (1, 600)):
+        got = [r.doc_id for r in near_dedup.among(docs.select("doc_id", "text"), ids, most_words).collect()]
+        assert want <= set(got) and len(got) == len(set(got)) <= most
+    assert near_dedup.among(docs, ids.limit(0)).count() == 0
+    texts = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("rep"), near_dedup.digest().alias("same"))
+    edges = spark.createDataFrame([(3, 7), (3, 8)], "a long, b long")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ends were many
+    try:
+        before = shuffled()
+        assert rows(near_dedup.verified(docs, texts, edges)) == [(3, 7)]
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert 0 < moved < sum(len(t) for _, t, *_ in many) / 8, moved
+
+
 def test_scan_again_leaves_no_pair(spark):
     """Points that ask meet all points of their part but those of their component."""
     spread = spark.createDataFrame([(0, 0, i, i % 2, 0, True) for i in range(6)], "shard long, part int, node long, f0 long, f1 long, own boolean")
