@@ -213,20 +213,23 @@ def _whole(line: str) -> bool:
 
 
 def split_documents(files: DataFrame) -> DataFrame:
-    """(path, pos, value) of whole texts (path, value): a list's items, or the values that follow one another."""
+    """(path, pos, value) of whole texts (path, value): a list's items, or the values that follow one another.
 
-    def run(parts):
-        import pandas as pd
-
-        for part in parts:
-            for path, text in zip(part["path"], part["value"]):
-                try:
-                    out = split_values(text)
-                except ValueError as e:
-                    raise ValueError(f"cannot normalize {path}: {e}") from None
-                yield pd.DataFrame({"path": path, "pos": range(len(out)), "value": out}).astype({"pos": "int64"})
+    Texts go to Python by the hundred, as rows: a batch of Arrow would hold 10,000 of them, of any length, at once.
+    """
 
-    return files.select("path", "value").mapInPandas(run, "path string, pos long, value string")
+    @F.udf("array<string>", useArrow=False)
+    def values(path, text):
+        try:
+            out = split_values(text)
+            for x in out:
+                x.encode()  # half a surrogate pair is an error, as when it is written
+        except ValueError as e:
+            raise ValueError(f"cannot normalize {path}: {e}") from None
+        return out
+
+    rows = files.select("path", F.posexplode(values("path", F.validate_utf8("value"))).alias("pos", "value"))
+    return rows.select("path", F.col("pos").cast("long").alias("pos"), "value")
 
 
 @dataclass(frozen=True)

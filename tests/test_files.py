@@ -2,9 +2,13 @@
 
 import gzip
 import json
+import re
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from chatloom import cli, config
 from chatloom.fetch import connectors, runner
@@ -260,3 +264,33 @@ def test_listing_and_gzip(spark, tmp_path):
     (tmp_path / "x.json.gz").write_bytes(gzip.compress(b'{"a": 1}\n{"a": 2}\n'))
     jsonl(tmp_path / "b/y.JSON", {})
     assert files.listed(spark, str(tmp_path)) == ["b/y.JSON"] and files.load(spark, str(tmp_path / "x.json.gz"), max_rows=1).count() == 1
+
+
+def worker_peaks():
+    """The most MB that each of Spark's Python workers has held."""
+    out = {}
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                out[p.name] = int(re.search(r"VmHWM:\s+(\d+)", (p / "status").read_text())[1]) / 1024
+        except OSError:
+            continue
+    return out
+
+
+def test_split_documents_holds_few_texts_at_once(spark):
+    """2,000 texts of 100 kB in one task are 400 MB as strings of two bytes a letter."""
+    one = F.concat(F.lit('\ufeff [{"n": '), F.col("id").cast("string"), F.lit('}, "'), F.repeat(F.lit("a"), 100_000), F.lit('"]'))
+    texts = spark.range(2000).coalesce(1).select(F.col("id").cast("string").alias("path"), one.alias("value"))
+    before = worker_peaks()
+    out = files.split_documents(texts).agg(F.count(F.lit(1)), F.sum(F.length("value")), F.sum("pos")).first()
+    assert tuple(out) == (4000, sum(len(json.dumps({"n": i})) + 100_002 for i in range(2000)), 2000)
+    assert max(n - before.get(pid, 0) for pid, n in worker_peaks().items()) < 250
+
+
+def test_split_documents_values(spark):
+    split = lambda *values: [tuple(r) for r in files.split_documents(spark.createDataFrame(list(zip("abcdef", values)), "path string, value string").coalesce(1)).collect()]
+    assert split('[1, {"é": "\\ud83d\\ude00"}]', " ", '{"a":1} {"a":2}\n[3]', "[]") == [("a", 0, "1"), ("a", 1, '{"é": "😀"}'), ("c", 0, '{"a": 1}'), ("c", 1, '{"a": 2}'), ("c", 2, "[3]")]
+    for bad in ('{"a": 1', '["\\ud800"]'):
+        with pytest.raises(PythonException, match="cannot normalize b"):
+            split("[1]", bad)
